@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import bpe
-from shardloom.llm.common import arrow_limits
+from shardloom.llm import bpe, langid, mixing
+from shardloom.llm.common import arrow_limits, n_words
 
 
 def tokenizer_path() -> str:
@@ -39,8 +39,26 @@ def bpe_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_bpe": op10_bpe}
-ORACLES: dict[str, str] = {}
+def op2_mixture_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, with the inferred mixture."""
+    arrow_limits(spark)
+    found = langid.predict(spark, _table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.array_join("languages", ",").alias("mixture"))
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    sizes = _table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("n"))
+    out = mixing.sample(sizes, words=F.col("n"))
+    return out.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixture_langid": op2_mixture_langid,
+    "op3_mix_sources": op3_mix_sources,
+    "op10_bpe": op10_bpe,
+}
+ORACLES: dict[str, str] = {"op3_mix_sources": mixing.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
