@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import bpe, langid, mixing
+from shardloom.llm import bpe, chat, langid, mixing, secrets
 from shardloom.llm.common import arrow_limits, n_words
 
 
@@ -53,12 +53,32 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and read back."""
+    return chat.digest(chat.with_probe(_table(spark, sf_dir, "conversations")))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document."""
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex", "entropy")],
+        F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
+        secrets.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixture_langid": op2_mixture_langid,
     "op3_mix_sources": op3_mix_sources,
+    "op8_chat_format": op8_chat_format,
+    "op9_secret_scan": op9_secret_scan,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op3_mix_sources": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_mix_sources": mixing.ORACLE, "op8_chat_format": chat.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
