@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import bpe, chat, langid, mixing, secrets
+from shardloom.llm import bpe, chat, jaccard, langid, mixing, secrets
 from shardloom.llm.common import arrow_limits, n_words
 
 
@@ -53,6 +53,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document: five words, Jaccard of at least 80 %."""
+    arrow_limits(spark)
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, and read back."""
     return chat.digest(chat.with_probe(_table(spark, sf_dir, "conversations")))
@@ -74,6 +80,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixture_langid": op2_mixture_langid,
     "op3_mix_sources": op3_mix_sources,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op8_chat_format": op8_chat_format,
     "op9_secret_scan": op9_secret_scan,
     "op10_bpe": op10_bpe,
