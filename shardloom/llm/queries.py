@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import bpe, chat, jaccard, langid, mixing, secrets
+from shardloom.llm import bpe, chat, jaccard, langid, mixing, secrets, warc
 from shardloom.llm.common import arrow_limits, n_words
 
 
@@ -59,6 +59,13 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived and read back."""
+    arrow_limits(spark)
+    back = warc.read(warc.write(_table(spark, sf_dir, "pages")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, and read back."""
     return chat.digest(chat.with_probe(_table(spark, sf_dir, "conversations")))
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixture_langid": op2_mixture_langid,
     "op3_mix_sources": op3_mix_sources,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op6_warc": op6_warc,
     "op8_chat_format": op8_chat_format,
     "op9_secret_scan": op9_secret_scan,
     "op10_bpe": op10_bpe,
