@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import bpe, chat, jaccard, langid, mixing, secrets, warc
+from shardloom.llm import avi, bpe, chat, jaccard, langid, mixing, secrets, warc
 from shardloom.llm.common import arrow_limits, n_words
 
 
@@ -66,6 +66,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a motion-JPEG AVI and read back, with its clips as feature."""
+    arrow_limits(spark, rows=256, mb=4)
+    back = avi.read(avi.store(_table(spark, sf_dir, "documents")))
+    clip = F.transform("clips", lambda c: F.format_string("%.2f-%.2f:%d:%.3f", c["start_s"], c["end_s"], c["frames"], c["mean_luma"]))
+    return back.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.array_join(clip, ";").alias("feature"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, and read back."""
     return chat.digest(chat.with_probe(_table(spark, sf_dir, "conversations")))
@@ -89,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_warc": op6_warc,
+    "op7_avi": op7_avi,
     "op8_chat_format": op8_chat_format,
     "op9_secret_scan": op9_secret_scan,
     "op10_bpe": op10_bpe,
