@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import avi, bpe, chat, jaccard, langid, mixing, secrets, warc
+from shardloom.llm import avi, bpe, chat, egojoin, jaccard, langid, mixing, secrets, warc
 from shardloom.llm.common import arrow_limits, n_words
 
 
@@ -59,6 +59,12 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links and component of every embedding: cosine of at least 0.9, all labels together."""
+    arrow_limits(spark)
+    return egojoin.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived and read back."""
     arrow_limits(spark)
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixture_langid": op2_mixture_langid,
     "op3_mix_sources": op3_mix_sources,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_ego_join": op5_ego_join,
     "op6_warc": op6_warc,
     "op7_avi": op7_avi,
     "op8_chat_format": op8_chat_format,
