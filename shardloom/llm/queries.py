@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import avi, bpe, chat, egojoin, jaccard, langid, mixing, secrets, warc
+from shardloom.llm import avi, bpe, chat, egojoin, jaccard, langid, mixing, secrets, tokencounts, warc
 from shardloom.llm.common import arrow_limits, n_words
 
 
@@ -39,6 +39,11 @@ def bpe_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a rollup after inserts, deletes, recounts and a repeated batch."""
+    return tokencounts.query(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_mixture_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, with the inferred mixture."""
     arrow_limits(spark)
@@ -99,6 +104,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_mixture_langid": op2_mixture_langid,
     "op3_mix_sources": op3_mix_sources,
     "op4_ngram_jaccard": op4_ngram_jaccard,
@@ -109,11 +115,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op3_mix_sources": mixing.ORACLE, "op8_chat_format": chat.ORACLE}
+ORACLES: dict[str, str] = {"op1_token_counts": tokencounts.ORACLE, "op3_mix_sources": mixing.ORACLE, "op8_chat_format": chat.ORACLE}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over all documents."""
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {**QUERIES, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
