@@ -7,15 +7,16 @@ Spark form and a different oracle, rows() a query that SQL can't express.
 from __future__ import annotations
 
 import importlib
+import re
 from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardloom.catalog import register_views
+from shardloom.catalog import TABLES, register_views
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("tpch",)
+MODULES = ("tpch", "filters", "joins", "aggregates", "windows", "sorting", "subqueries", "scalars", "modify", "scans", "streams", "tables")
 
 
 class Registry:
@@ -36,7 +37,7 @@ class Registry:
         """A query in Spark SQL; oracle is given where DuckDB's spelling differs."""
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            register_views(spark, sf_dir)
+            register_views(spark, sf_dir, [t for t in TABLES if re.search(rf"\b{t}\b", text)])
             return spark.sql(text)
 
         self.add(name, run, oracle or text)
