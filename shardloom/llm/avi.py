@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm.common import need
+from shardloom.session import ship
 
 BLOCK = 64
 #: Blocks of a frame at most: 64 x 64 samples. A shorter payload has one frame of a single row of blocks.
@@ -341,6 +342,7 @@ def padded(text: str | None) -> tuple[int, bytes]:
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes (without padding), media binary: an AVI of each whole text; null counts as empty. Other columns are left out."""
     need(docs, doc_id, text)
+    ship(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,6 +366,7 @@ def read(media: DataFrame) -> DataFrame:
     A null media gives nulls and no clips; a broken one raises ValueError.
     """
     need(media, "doc_id", "n_bytes", "media")
+    ship(media.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm.common import need
+from shardloom.session import ship
 
 #: Fixed value: how the byte-level vocabularies cut a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -148,6 +149,7 @@ def _load(text: str) -> BpeCodec:
 
 def _codec(spark: SparkSession, tokenizer_path: str):
     """A broadcast of the vocabulary file's text (about 1.5 MB, whatever the input), read on the driver."""
+    ship(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardloom.session import ship
+
 #: A word is a maximal run without ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 _SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -39,7 +42,8 @@ def n_words(text: Column) -> Column:
 
 
 def arrow_limits(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
-    """Bound the Arrow batches that Python workers get, so that long texts don't add up."""
+    """Bound the Arrow batches that Python workers get, so that long texts don't add up; and give them this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
@@ -56,33 +60,45 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def _drop_all() -> None:
-    while _written:
-        drop_table(*_written.pop())
+    for path in [*_written]:
+        _delete(path)
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete what shared_table wrote; on a session that has ended, nothing is left to ask."""
-    jvm = spark.sparkContext._jvm
-    if jvm is None or spark.sparkContext._jsc is None:
+def _delete(path: str) -> None:
+    """Delete a table of shared_table; on a session that has ended, nothing is left to ask."""
+    spark = _written.pop(path, None)
+    if spark is None or spark.sparkContext._jsc is None:
         return
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of shared_table that nothing will read again, and let Spark remove shuffle files of jobs that have ended."""
+    for df in tables:
+        _delete(df._shared_path)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
 atexit.register(_drop_all)
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -92,9 +108,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     holds a component. Every step is written to the shared folder. Rows with equal or null ends are
     left out. An empty frame gives an empty frame.
     """
-    spark = edges.sparkSession
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = shared_table(now, "edges")
+    if now.isEmpty():
+        return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     last = None
     for _ in range(rounds):
         # large star: every larger neighbour of u is hung on the least of u and its neighbours
@@ -106,7 +123,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = shared_table(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
         seen = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_table(spark, now.inputFiles()[0].rpartition("/")[0]) if now.inputFiles() else None
+        _delete(now._shared_path)
         now = new
         if seen == last:
             break

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import components, need, shared_table
+from shardloom.llm.common import arrow_limits, components, need, shared_table
 
 COSINE = 0.9
 GRID_AXES = 4
@@ -218,6 +218,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_
     empty table gives an empty result.
     """
     need(vectors, vec_id, embedding)
+    arrow_limits(vectors.sparkSession)
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("vec"))
     good = rows.where(usable(F.col("vec")) & F.col("id").isNotNull())
     points = shared_table(good.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "points")

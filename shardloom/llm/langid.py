@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm.common import fresh
+from shardloom.session import ship
 
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
@@ -115,6 +116,7 @@ def fit(spark: SparkSession, docs: DataFrame, text: str = "text", lang: str = "l
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "n"])
 
+    ship(spark)
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
     sums = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     model = sums.toPandas()  # at most BUCKETS x languages rows
@@ -132,6 +134,7 @@ def identify(spark: SparkSession, model: MixtureModel, text: Column) -> Column:
     und and 0 for null texts, texts without a letter, and every text if the model has no language.
     Equal texts get equal results.
     """
+    ship(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)

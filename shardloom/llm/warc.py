@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm.common import need, shared_table
+from shardloom.session import ship
 
 # Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
@@ -138,6 +139,7 @@ def write(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     payload of a third of all pages doesn't meet in one task.
     """
     need(pages, "page_id", "url", "html")
+    ship(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8"))).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     large = F.octet_length("html") >= min_bytes
@@ -173,6 +175,7 @@ def read(archives: DataFrame) -> DataFrame:
     Digest and length of a response are computed from its payload and must agree with its headers; those of a revisit are the headers'.
     """
     need(archives, "content")
+    ship(archives.sparkSession)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
