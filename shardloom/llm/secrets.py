@@ -59,8 +59,8 @@ def _places(text: Column, pattern: str, kind: int, keep) -> Column:
 
 
 def _plog(c: Column) -> Column:
-    """c * log2(c) for a count from 0 to WINDOW."""
-    return F.element_at(F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(WINDOW + 1)]), c + 1)
+    """c * log2(c) for a count from 0 to WINDOW + 1: a character enters before the oldest leaves."""
+    return F.element_at(F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(WINDOW + 2)]), c + 1)
 
 
 def hot_region(codes: Column, bits: Column) -> Column:
