@@ -15,13 +15,14 @@ shared by sets for being empty.
 
 Equal sets are one class from the start (grouped by a 128-bit digest), so copies cost no pairs.
 Candidates are the classes that share a signature, thinned by size and by odd sketches: the parity
-of the set's elements in each of 256 cells differs in at most |r xor s| cells, so a larger difference
+of the set's elements in each of CELLS cells differs in at most |r xor s| cells, so a larger difference
 proves that two sets are no link. Candidate pairs are verified on the sets themselves.
 
 Only components are asked for, so pairs within one component need no look. Round one takes, for each
-signature, its classes against the one with the smallest id, which joins all of a group of near
-copies; round two takes every pair of one signature that lies in two components and holds at least
-one class outside the component that has most of the signature's classes.
+class, the closest of those with the smallest id in one of its signatures, which joins most of a group
+of near copies; round two takes one pair for each two components that share a signature; round three
+takes every pair of one signature that still lies in two components and holds at least one class
+outside the component that has most of the signature's classes.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import components, fresh, need, shared_table
+from shardloom.llm.common import arrow_limits, components, drop, fresh, need, shared_table
 
 N_WORDS, THRESHOLD = 5, 80
 #: Least number of partitions of a band, so that small sets hardly ever put many elements in one.
@@ -45,7 +46,14 @@ LOAD = 3
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # fixed values: multipliers of a 64-bit mixer
 _S = np.uint64(33)
 _U32 = np.uint64(32)
-SKETCH = ("o0", "o1", "o2", "o3")
+#: So many ids are broadcast at most (about 50 MB as a hash table).
+MOST_SENT = 1_000_000
+#: Largest bitmap of ids that is sent to the workers: 32 MB.
+MOST_BITS = 1 << 28
+#: Parities of the sketch that pairs are thinned by before their sets are compared; it tells sets of thousands of elements apart.
+FINE_CELLS = 4096
+CELLS = 1024
+SKETCH = tuple(f"o{i}" for i in range(CELLS // 64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -88,9 +96,9 @@ def shingles(text: str | None, n_words: int = N_WORDS) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def odd_sketch(s: np.ndarray) -> np.ndarray:
-    """256 parities as four 64-bit numbers."""
-    bits = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1
+def odd_sketch(s: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    """So many parities (a power of two) as 64-bit numbers."""
+    bits = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1
     return np.packbits(bits).view(np.int64)
 
 
@@ -143,94 +151,177 @@ def _signed(docs: DataFrame, id_col: str, text: str, n_words: int, t: int) -> Da
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(key)
-            o = np.array(o, np.int64).reshape(-1, 4)
+            o = np.array(o, np.int64).reshape(-1, len(SKETCH))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in sig]))).astype(np.int32)
             flat = np.concatenate(sig) if sig else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(d, pa.binary()), *(pa.array(o[:, i]) for i in range(4)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(d, pa.binary()), *(pa.array(o[:, i]) for i in range(len(SKETCH))), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                 names=["id", "n", "digest", *SKETCH, "sig"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(work, f"id {kind}, n int, digest binary, o0 long, o1 long, o2 long, o3 long, sig array<long>")
+    return rows.mapInArrow(work, f"id {kind}, n int, digest binary, {', '.join(f'{o} long' for o in SKETCH)}, sig array<long>")
 
 
-def _sets(docs: DataFrame, id_col: str, text: str, n_words: int) -> DataFrame:
-    """id, set: the hashes of each document."""
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Bits for the hashes of some ids, of at most MOST_BITS: an id without its bit isn't among them."""
+    n = ids.count()
+    bits = min(MOST_BITS, 1 << max(16, (16 * n).bit_length()))
+    h = F.xxhash64("id").bitwiseAND(F.lit(bits - 1))
+    words = ids.select(F.shiftright(h, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["w"]] = words["b"]
+    return out.view(np.uint64)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
+    """id, set, fine, digest: the hashes of each document (id, text) whose id may be among ids, and their sketch of FINE_CELLS.
+
+    What isn't wanted is left out where it is read, so no text is shuffled: up to MOST_SENT ids are
+    broadcast, beyond that a bitmap of bounded size; what passes that in vain finds no partner in the
+    joins that follow.
+    """
+    few = ids.count() <= MOST_SENT
+    if few:
+        docs = docs.join(F.broadcast(ids), "id", "left_semi")
+    sent = docs.sparkSession.sparkContext.broadcast(None if few else _bitmap(ids))
+
+    def lists(rows: list[np.ndarray]) -> pa.ListArray:
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).view(np.int64)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = sent.value
         for batch in batches:
-            sets = [shingles(x, n_words).view(np.int64) for x in batch.column(1).to_pylist()]
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["id", "set"])
+            some = batch
+            if bitmap is not None:
+                h = batch.column(2).to_numpy().astype(np.uint64) % np.uint64(64 * len(bitmap))
+                some = batch.filter(pa.array((bitmap[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1))
+            if not len(some):
+                continue
+            sets = [shingles(x, n_words) for x in some.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column(0), lists(sets), lists([odd_sketch(x, FINE_CELLS) for x in sets]), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())], names=["id", "set", "fine", "digest"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(work, f"id {kind}, set array<long>")
+    kind = docs.schema["id"].dataType.simpleString()
+    # the size of the bitmap divides 2 ** 62, so the lower bits of the hash give the place
+    return docs.select("id", "text", F.xxhash64("id").bitwiseAND(F.lit((1 << 62) - 1)).alias("h")).mapInArrow(work, f"id {kind}, set array<long>, fine array<long>, digest binary")
+
+
+def _distance(a: str, b: str) -> Column:
+    """In how many cells two sketches differ: at most the number of elements that the sets differ in."""
+    return sum((F.bit_count(F.col(f"{a}.{o}").bitwiseXOR(F.col(f"{b}.{o}"))) for o in SKETCH), F.lit(0))
 
 
 def _close(a: str, b: str, t: int) -> Column:
     """What two linked sets fulfil: sizes within the threshold, and few parities that differ."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.{o}").bitwiseXOR(F.col(f"{b}.{o}"))) for o in SKETCH), F.lit(0))
-    return (100 * F.least(n, m) >= t * F.greatest(n, m)) & (apart * (100 + t) <= (100 - t) * (n + m))
+    return (100 * F.least(n, m) >= t * F.greatest(n, m)) & (_distance(a, b) * (100 + t) <= (100 - t) * (n + m))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n_words: int, t: int) -> DataFrame:
+    """The links among distinct pairs (a, b, …), from the whole sets of the documents in them. The fine sketches go first, so that few sets move."""
+    ends = shared_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+    right = nodes.select(F.col("rep").alias("id"), "digest")
+    sets = shared_table(_sets(docs, ends, n_words), "sets")
+    if sets.count() > ends.count():  # an id with several texts, or a bitmap that let others pass
+        sets = sets.join(right, ["id", "digest"], "left_semi").dropDuplicates(["id"])
+    told = sets.select("id", "fine", F.size("set").alias("n"))
+    near = pairs.join(told.select(F.col("id").alias("b"), F.col("fine").alias("fb"), F.col("n").alias("nb")), "b").join(told.select(F.col("id").alias("a"), F.col("fine").alias("fa"), F.col("n").alias("na")), "a")
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    near = shared_table(near.where(apart * (100 + t) <= (100 - t) * (F.col("na") + F.col("nb"))).select(*pairs.columns), "near")
+    both = near.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+    common = F.size(F.array_intersect("sa", "sb"))
+    found = shared_table(both.where(100 * common >= t * (F.size("sa") + F.size("sb") - common)).select(*pairs.columns), "links")
+    drop(near, ends)
+    return found
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, n_words: int, t: int) -> DataFrame:
-    """The links among distinct pairs (a, b). Only documents of pairs are cut into sets again."""
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = docs.join(ends.select(F.col("id").alias(id_col)), id_col, "left_semi")
-    sets = shared_table(_sets(wanted, id_col, text, n_words), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= t * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+def _merged(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes with the components that edges (a, b) between their components connect."""
+    label = components(edges).select(F.col("id").alias("component"), F.col("component").alias("new"))
+    return shared_table(nodes.join(label, "component", "left").withColumn("component", F.coalesce("new", "component")).drop("new"), "nodes")
+
+
+def _open(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of signatures whose classes lie in several components: sig, rep, n, sketch, component, and main, the component of most of them."""
+    told = buckets.join(nodes, "rep")
+    ends = told.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+    some = shared_table(told.join(ends, "sig"), "open")
+    main = some.groupBy("sig", "component").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "component")).alias("m")).select("sig", F.col("m.component").alias("main"))
+    out = shared_table(some.join(main, "sig"), "open")
+    drop(some)
+    return out
+
+
+def _buckets(shared: DataFrame, names: DataFrame) -> DataFrame:
+    """sig, rep: the classes of each signature that several share; of signatures shared by the same classes one is kept."""
+    rows = shared.join(names.select("id", "rep"), "id").select("sig", "rep").repartition("sig").distinct()
+    by = Window.partitionBy("sig")
+    marked = rows.select("sig", "rep", F.count("*").over(by).alias("c"), F.bit_xor(F.xxhash64("rep", F.lit(1))).over(by).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(2))).over(by).alias("y"))
+    marked = shared_table(marked.where("c > 1"), "marked")
+    one = marked.groupBy("c", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    out = shared_table(marked.select("sig", "rep").join(one, "sig", "left_semi"), "buckets")
+    drop(marked)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_words: int = N_WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles long, component_id of each row: the smallest id reachable by links of at least threshold percent.
 
     ids are whole numbers. A null or blank text has no shingles and links with nothing; rows without
-    id are components of their own (null). Rows that repeat an id with another text link by either
-    text. Other columns are left out; an empty table gives an empty result.
+    id are components of their own (null). Rows that repeat an id with other texts are all placed by
+    the text with the smallest set (and, of those, the smallest digest). Other columns are left out; an empty table gives an empty result.
     """
     need(docs, id_col, text)
+    arrow_limits(docs.sparkSession)
     t = threshold
-    docs = docs.select(id_col, text)
-    known = docs.where(F.col(id_col).isNotNull())
-    signed = shared_table(_signed(docs, id_col, text, n_words, t), "signed")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    signed = shared_table(_signed(docs, "id", "text", n_words, t), "signed")
     filled = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = shared_table(filled.groupBy("n", "digest").agg(F.min("id").alias("rep"), *[F.first(o).alias(o) for o in SKETCH]), "classes")
-    # A row's signatures lead to its class only once they are known to be shared: most are not
+    # rows with the smallest id of a set go by that id from here on
+    one = filled.groupBy("id").agg(F.min(F.struct("n", "digest", *SKETCH)).alias("x")).select("id", "x.*")
+    classes = one.groupBy("n", "digest").agg(F.min("id").alias("rep"))
+    names = shared_table(one.join(classes, ["n", "digest"]), "names")
+    sizes = shared_table(signed.select("id", "n"), "sizes")
     by = Window.partitionBy("sig").orderBy("id")
     lone = filled.where(F.size("sig") > 0).select("id", F.explode("sig").alias("sig"))
     shared = lone.select("sig", "id", F.lag("id").over(by).alias("before"), F.lead("id").over(by).alias("after")).where("before is not null or after is not null").select("sig", "id")
-    names = filled.select("id", "n", "digest").join(classes, ["n", "digest"]).select("id", "n", "rep", *SKETCH).distinct()
-    buckets = shared.join(names, "id").select("sig", "rep", "n", *SKETCH).distinct()
-    buckets = shared_table(buckets, "buckets")
-
-    least = buckets.groupBy("sig").agg(F.min(F.struct("rep", "n", *SKETCH)).alias("x")).select("sig", "x.*")
-    star = buckets.alias("p").join(least.alias("q"), (F.col("p.sig") == F.col("q.sig")) & (F.col("p.rep") > F.col("q.rep")) & _close("p", "q", t))
-    star = shared_table(star.select(F.col("q.rep").alias("a"), F.col("p.rep").alias("b")).distinct(), "star")
-    links = shared_table(_verified(star, known, id_col, text, n_words, t), "links")
-    label = components(links)
-
-    told = buckets.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = told.groupBy("sig", "component").agg(F.count("*").alias("c")).groupBy("sig").agg(F.count("*").alias("k"), F.max(F.struct("c", "component")).alias("main"))
-    open_ = told.join(split.where("k > 1").select("sig", F.col("main.component").alias("main")), "sig")
-    open_ = shared_table(open_, "open")
-    odd = open_.where("component <> main")
-    # of two classes outside the main component the smaller id is looked at from the larger
+    shared = shared_table(shared, "shared")
+    drop(signed)
+    buckets = _buckets(shared, names)
+    drop(shared)
+    reps = buckets.select("rep").distinct()
+    nodes = shared_table(names.where("id = rep").select("rep", "n", "digest", *SKETCH).join(reps, "rep", "left_semi").withColumn("component", F.col("rep")), "nodes")
+    docs = docs.where("id is not null")
+
+    # round one: each class with the closest of the classes that come first in its signatures
+    first = Window.partitionBy("sig").orderBy("rep")
+    star = buckets.join(nodes, "rep").select(F.struct("rep", "n", *SKETCH).alias("p"), F.first(F.struct("rep", "n", *SKETCH)).over(first).alias("q")).where(F.col("p.rep") > F.col("q.rep")).where(_close("p", "q", t))
+    star = star.groupBy(F.col("p.rep").alias("b")).agg(F.min(F.struct(_distance("p", "q").alias("d"), F.col("q.rep").alias("rep"))).alias("x")).select(F.col("x.rep").alias("a"), "b")
+    nodes = _merged(nodes, _verified(shared_table(star, "pairs"), docs, nodes, n_words, t))
+    open_ = _open(buckets, nodes)
+
+    # round two: for each two components that meet in a signature, the closest pair of their firsts there
+    one = open_.groupBy("sig", "component", "main").agg(F.min(F.struct("rep", "n", *SKETCH)).alias("s"))
+    heads = one.where("component = main").select("sig", F.col("component").alias("x"), F.col("s").alias("q"))
+    near = one.where("component <> main").select("sig", F.col("component").alias("y"), F.col("s").alias("p")).join(heads, "sig").where(_close("p", "q", t))
+    near = near.groupBy("x", "y").agg(F.min(F.struct(_distance("p", "q").alias("d"), F.col("p.rep").alias("a"), F.col("q.rep").alias("b"))).alias("z")).select("z.a", "z.b", "x", "y")
+    nodes = _merged(nodes, _verified(shared_table(near, "pairs"), docs, nodes, n_words, t).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    more = _open(open_.select("sig", "rep"), nodes)
+    drop(open_, buckets)
+
+    # round three: whatever is left. Of two classes outside the main component the smaller id is looked at from the larger
     apart = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.component") != F.col("q.component")) & ((F.col("q.component") == F.col("q.main")) | (F.col("p.rep") > F.col("q.rep")))
-    cross = odd.alias("p").join(open_.alias("q"), apart & _close("p", "q", t))
-    cross = cross.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = shared_table(_verified(shared_table(cross, "cross"), known, id_col, text, n_words, t), "links")
-
-    same_id = names.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    label = components(links.unionAll(more).unionAll(same_id))
-    final = names.select("id", "rep").join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    final = final.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    cross = more.where("component <> main").alias("p").join(more.alias("q"), apart & _close("p", "q", t))
+    cross = cross.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), F.col("p.component").alias("x"), F.col("q.component").alias("y")).distinct()
+    links = _verified(shared_table(cross, "pairs"), docs, nodes, n_words, t).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    nodes = _merged(nodes, links)
+    drop(more)
+
+    final = names.select("id", "rep").join(nodes.select("rep", "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     # a class's smallest id is in the class, and a component's smallest class holds the component's smallest id
-    return signed.select("id", "n").join(final, "id", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return sizes.join(final, "id", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n_words: int = N_WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -238,11 +329,11 @@ def keep_one(docs: DataFrame, n_words: int = N_WORDS, threshold: int = THRESHOLD
 
     Documents without words stay. Of rows that repeat a doc_id one row stays, but for rows without doc_id, which all stay.
     """
-    found = near_duplicates(docs, "doc_id", "text", n_words, threshold)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    one = fresh(docs, "one")[0]
-    left = docs.join(gone, "doc_id", "left_anti")
+    found = near_duplicates(docs, "doc_id", "text", n_words, threshold).where("doc_id is not null")
+    key, component, one = fresh(docs, "key", "component", "one")
+    told = found.groupBy(F.col("doc_id").alias(key)).agg(F.min("component_id").alias(component))
+    # texts are shuffled once: the window has the join's partitioning
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    twice = left.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
-    rare = left.join(twice, "doc_id", "left_semi").withColumn(one, F.row_number().over(first)).where(F.col(one) == 1).drop(one)
-    return left.join(twice, "doc_id", "left_anti").unionByName(rare)
+    kept = docs.where("doc_id is not null").join(told, F.col("doc_id") == F.col(key)).where(F.col("doc_id") == F.col(component))
+    kept = kept.withColumn(one, F.row_number().over(first)).where(F.col(one) == 1).select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
