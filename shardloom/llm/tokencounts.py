@@ -116,10 +116,13 @@ def query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All documents inserted; those labelled toxic deleted; those of low quality recounted without repeated lines; a batch sent twice."""
     rollup = TokenRollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
     rollup.apply("1-insert", changes(docs, "insert", versions(F.col("text"))))
-    toxic = changes(docs.join(labels.where("toxic = 1"), "doc_id", "left_semi"), "delete", {k: F.lit(0) for k in versions(F.lit(""))})
+    # Counts are taken before the join and an inner join stays above them, so no text is shuffled
+    told = labels.groupBy(F.col("doc_id").alias("k")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    labelled = lambda rows, which: rows.join(told.where(which), F.col("doc_id") == F.col("k"))
+    toxic = labelled(changes(docs, "delete", {k: F.lit(0) for k in versions(F.lit(""))}), "toxic = 1")
     rollup.apply("2-takedown", toxic)
     once = F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")
-    rollup.apply("3-recount", changes(docs.join(labels.where("quality = 0"), "doc_id", "left_semi"), "revise", versions(once)))
+    rollup.apply("3-recount", labelled(changes(docs, "revise", versions(once)), "quality = 0"))
     rollup.apply("2-takedown", toxic)
     return rollup.totals()
 
