@@ -10,7 +10,7 @@ def register(r) -> None:
         SELECT l_returnflag, l_linestatus,
                round(sum(l_quantity), 2) AS sum_qty,
                round(sum(l_extendedprice), 2) AS sum_base_price,
-               round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
+               round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_disc_price,
                round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
                round(avg(l_quantity), 4) AS avg_qty,
                round(avg(l_extendedprice), 4) AS avg_price,
@@ -24,7 +24,7 @@ def register(r) -> None:
     r.sql(
         "tpch_q3",
         """
-        SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate
+        SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, o_orderdate
         FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
         WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1998-03-15 00:00:00'
         GROUP BY l_orderkey, o_orderdate
@@ -34,7 +34,7 @@ def register(r) -> None:
     r.sql(
         "tpch_q5",
         """
-        SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+        SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
         FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
              JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey
              JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
@@ -45,13 +45,13 @@ def register(r) -> None:
     r.sql(
         "tpch_q6",
         """
-        SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem
+        SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM lineitem
         WHERE l_shipdate >= TIMESTAMP '1997-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1998-01-01 00:00:00'
           AND l_discount BETWEEN 0.04 AND 0.08 AND l_quantity < 24
         """,
     )
     q7 = """
-        SELECT supp_nation, cust_nation, l_year, round(sum(volume), 1) AS revenue FROM (
+        SELECT supp_nation, cust_nation, l_year, round(sum(volume), 4) AS revenue FROM (
             SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, extract(year FROM l_shipdate) AS l_year,
                    l_extendedprice * (1 - l_discount) AS volume
             FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey
@@ -63,7 +63,7 @@ def register(r) -> None:
     r.sql(
         "tpch_q7_nested",
         """
-        SELECT n_name, l_year, round(sum(volume), 2) AS revenue FROM (
+        SELECT n_name, l_year, round(sum(volume), 4) AS revenue FROM (
             SELECT n_name, extract(year FROM l_shipdate) AS l_year, l_extendedprice * (1 - l_discount) AS volume
             FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
                  JOIN (SELECT n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name LIKE 'A%') n ON s_nationkey = n_nationkey
@@ -73,7 +73,7 @@ def register(r) -> None:
     r.sql(
         "tpch_q10",
         """
-        SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, c_acctbal, n_name
+        SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, c_acctbal, n_name
         FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey
         WHERE o_orderdate >= TIMESTAMP '1997-10-01 00:00:00' AND o_orderdate < TIMESTAMP '1998-01-01 00:00:00' AND l_returnflag = 'R'
         GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20
@@ -97,7 +97,7 @@ def register(r) -> None:
     r.sql(
         "tpch_q19_or",
         """
-        SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey
+        SELECT round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey
         WHERE (p_brand = 'Brand#12' AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 25)
            OR (p_brand = 'Brand#23' AND l_quantity BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 40)
            OR (p_brand = 'Brand#7' AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 50)

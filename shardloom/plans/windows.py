@@ -21,7 +21,7 @@ def register(r) -> None:
     r.sql("win_rows", f"SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2) AS s, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS 2 PRECEDING) AS c {o}")
     r.sql("win_range_num", "SELECT n_nationkey, count(*) OVER (ORDER BY n_nationkey RANGE BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS c FROM nation")
     r.sql("win_range_interval", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND CURRENT ROW) AS c FROM orders WHERE o_custkey < 200")
-    r.sql("win_aggregates", f"SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey), 0) AS a, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS m, count(*) OVER (PARTITION BY o_custkey) AS n {o}")
+    r.sql("win_aggregates", f"SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS a, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS m, count(*) OVER (PARTITION BY o_custkey) AS n {o}")
     r.sql("win_named", f"SELECT o_orderkey, rank() OVER w AS r, count(*) OVER w AS c {o} WINDOW w AS (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey)")
     r.sql("win_over_agg", "SELECT o_custkey, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS r FROM orders WHERE o_custkey < 300 GROUP BY o_custkey")
     r.sql("win_distinct", f"SELECT DISTINCT o_custkey, max(o_totalprice) OVER (PARTITION BY o_custkey) AS m {o}")
