@@ -135,3 +135,29 @@ def rebalance_plan(sizes: list[tuple[str, str, float]], nodes: list[str], thresh
 def foreign_key_violations(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Rows of child whose key isn't null and isn't in parent."""
     return child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias("_key")), F.col(key) == F.col("_key"), "left_anti")
+
+
+def catalog_tables(spark: SparkSession, prefix: str = "") -> DataFrame:
+    """table_name, kind, distribution_column, shard_count of the stored tables: distributed ones have buckets, others are plain."""
+    rows = []
+    for t in spark.catalog.listTables():
+        if not t.isTemporary and t.name.startswith(prefix):
+            try:
+                key, n = bucket_spec(spark, t.name)
+                rows.append((t.name, "distributed", key, n))
+            except ValueError:
+                rows.append((t.name, "plain", None, None))
+    return spark.createDataFrame(rows, "table_name string, kind string, distribution_column string, shard_count int")
+
+
+def catalog_shards(spark: SparkSession, name: str) -> DataFrame:
+    """shard, n, bytes of a distributed table's files by bucket."""
+    key, n = bucket_spec(spark, name)
+    rows = spark.table(name).groupBy(shard_of(F.col(key), n).alias("shard")).agg(F.count("*").alias("n"))
+    every = spark.range(n).select(F.col("id").cast("int").alias("shard"))
+    return every.join(rows, "shard", "left").select("shard", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def running_jobs(spark: SparkSession) -> list[int]:
+    """Ids of the jobs that run now; cancel one group with spark.interruptTag or sparkContext.cancelJobGroup."""
+    return list(spark.sparkContext.statusTracker().getActiveJobsIds())

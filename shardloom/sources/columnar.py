@@ -79,6 +79,13 @@ def table_size(spark: SparkSession, path: str) -> DataFrame:
     return rows.crossJoin(sizes).withColumn("compression_rate", F.round(F.col("raw_bytes") / F.col("bytes"), 4))
 
 
+def compact(spark: SparkSession, path: str, to: str, file_bytes: int = 512 << 20) -> int:
+    """Rewrite many small files as files of about file_bytes (what VACUUM does for a columnar table); the number of files now."""
+    total = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg(F.sum("length")).first()[0] or 0
+    spark.read.parquet(path).repartition(max(1, -(-total // file_bytes))).write.option("compression", "zstd").parquet(to)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(to).count()
+
+
 def set_access_method(spark: SparkSession, path: str, to: str, method: str, options: ColumnarOptions = ColumnarOptions()) -> None:
     """Rewrite files in another format: columnar (Parquet), orc, or row (Avro-like text rows: JSON lines)."""
     df = spark.read.parquet(path) if method != "columnar" else _read_any(spark, path)

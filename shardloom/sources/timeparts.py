@@ -72,3 +72,49 @@ def read_range(spark: SparkSession, path: str, start: datetime, end: datetime) -
     """Rows of the partitions whose start lies in [start, end): only their folders are read."""
     lo, hi = (f"{t:%Y-%m-%dT%H-%M-%S}" for t in (start, end))
     return spark.read.option("basePath", path).parquet(path).where((F.col(PART).cast("string") >= lo) & (F.col(PART).cast("string") < hi))
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    jvm = spark.sparkContext._jvm
+    a, b = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
+    fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"{old} couldn't be moved to {new}")
+
+
+def _folder(start: datetime) -> str:
+    return f"{PART}={start:%Y-%m-%dT%H-%M-%S}"
+
+
+def detach_partition(spark: SparkSession, path: str, start: datetime, to: str) -> None:
+    """Move a partition's folder out of the table, to the folder to."""
+    _rename(spark, f"{path}/{_folder(start)}", to)
+
+
+def attach_partition(spark: SparkSession, path: str, start: datetime, source: str) -> None:
+    """Make a folder of files the partition that begins at start."""
+    _rename(spark, source, f"{path}/{_folder(start)}")
+
+
+def time_partition_range(partition: str, step: timedelta) -> tuple[datetime, datetime]:
+    """From a folder's name to its range."""
+    start = datetime.strptime(partition.rstrip("/").rpartition("=")[2], "%Y-%m-%dT%H-%M-%S")
+    return start, start + step
+
+
+def set_old_partitions_codec(spark: SparkSession, path: str, step: timedelta, older_than: datetime, codec: str) -> int:
+    """Rewrite the partitions whose ranges end at older_than or before with another codec; how many.
+
+    A partition is written aside, then its folder is exchanged by two renames.
+    """
+    old = [r.partition for r in time_partitions(spark, path, step).where(F.col("to_value") <= F.lit(older_than).cast("timestamp_ntz")).collect()]
+    jvm = spark.sparkContext._jvm
+    for name in old:
+        aside, gone = f"{path}/_new-{name}", f"{path}/_old-{name}"
+        spark.read.parquet(f"{path}/{name}").write.mode("overwrite").option("compression", codec).parquet(aside)
+        _rename(spark, f"{path}/{name}", gone)
+        _rename(spark, aside, f"{path}/{name}")
+        where = jvm.org.apache.hadoop.fs.Path(gone)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return len(old)

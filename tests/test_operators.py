@@ -176,3 +176,28 @@ def test_random_join_trees_agree(spark, seed):
         return values(df)
 
     assert tree("merge") == tree("broadcast") == tree("shuffle_hash")
+
+
+def test_ranges_enums_and_domains(spark):
+    from shardloom.functions import ranges as R
+
+    t = spark.createDataFrame([(1, 3, 3, 5), (1, 3, 4, 5), (None, 2, 1, 9), (5, 5, 4, 6)], "a int, b int, c int, d int")
+    half, closed = lambda x, y: R.make_range(F.col(x), F.col(y)), lambda x, y: R.make_range(F.col(x), F.col(y), "[]")
+    got = t.select(R.overlaps(half("a", "b"), half("c", "d")), R.overlaps(closed("a", "b"), closed("c", "d")), R.contains(half("a", "b"), F.lit(2)), R.is_empty(half("a", "b"))).collect()
+    assert [tuple(x) for x in got] == [(False, True, True, False), (False, False, True, False), (True, True, False, False), (False, True, False, True)]
+    with pytest.raises(ValueError):
+        R.make_range(F.lit(1), F.lit(2), "<>")
+    with pytest.raises(Exception, match="not a label"):
+        spark.createDataFrame([("x",)], "v string").select(R.enum_rank(F.col("v"), ["a"])).collect()
+    with pytest.raises(Exception, match="violates domain"):
+        t.select(R.domain(F.col("b"), F.col("b") < 5, "small")).collect()
+    assert spark.createDataFrame([(None,)], "v int").select(R.domain(F.col("v"), F.col("v") > 0, "p").alias("v")).first().v is None
+
+
+def test_similar_to(spark):
+    from shardloom.functions.text import similar_to
+
+    t = spark.createDataFrame([("abc",), ("a.c",), ("xabc",), ("a%c",), ("",), (None,)], "s string")
+    hit = lambda p: [x.s for x in t.where(similar_to(F.col("s"), p)).collect()]
+    assert hit("a_c") == ["abc", "a.c", "a%c"] and hit("a.c") == ["a.c"] and hit("%(b|%)c") == ["abc", "a.c", "xabc", "a%c"]
+    assert hit("a\\%c") == ["a%c"] and hit("%") == ["abc", "a.c", "xabc", "a%c", ""]
