@@ -7,9 +7,26 @@ import threading
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardloom.sources.intermediate import shared_folder
+
 _lock = threading.Lock()
 
 
+def save_table(df: DataFrame, name: str, key: str | None = None, buckets: int = 0, codec: str = "zstd") -> None:
+    """Store df as a table, in buckets of key if one is given.
+
+    The files lie in a new folder of the shared place, so a table of that name from an earlier session
+    is no obstacle, and results that still read the replaced table stay valid.
+    """
+    spark = df.sparkSession
+    writer = df.write.option("compression", codec).option("path", shared_folder(spark, name.replace(".", "-")))
+    if key is not None:
+        writer = writer.bucketBy(buckets, key).sortBy(key)
+    with _lock:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        writer.saveAsTable(name)
+
+
 def distribute(df: DataFrame, name: str, key: str, buckets: int, colocate_with: str | None = None, codec: str = "zstd") -> None:
     """Store df as a table in buckets of hash(key), sorted by key. Rows with a null key are rejected.
 
@@ -20,9 +37,7 @@ def distribute(df: DataFrame, name: str, key: str, buckets: int, colocate_with:
     if colocate_with is not None:
         buckets = bucket_spec(spark, colocate_with)[1]
     checked = df.withColumn(key, F.when(F.col(key).isNull(), F.raise_error(F.lit(f"the distribution column {key} is null")).cast(df.schema[key].dataType)).otherwise(F.col(key)))
-    with _lock:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        checked.repartition(buckets, F.col(key)).write.option("compression", codec).bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(name)
+    save_table(checked.repartition(buckets, F.col(key)), name, key, buckets, codec)
 
 
 def distributed(spark: SparkSession, name: str) -> DataFrame:
@@ -32,8 +47,7 @@ def distributed(spark: SparkSession, name: str) -> DataFrame:
 
 def undistribute(spark: SparkSession, name: str, to: str) -> None:
     """Store a distributed table's rows as a plain table."""
-    spark.sql(f"DROP TABLE IF EXISTS {to}")
-    spark.table(name).write.saveAsTable(to)
+    save_table(spark.table(name), to)
 
 
 def redistribute(spark: SparkSession, name: str, to: str, key: str, buckets: int) -> None:

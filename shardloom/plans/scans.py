@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from shardloom.catalog import table
+from shardloom.operators.tables import save_table
 from shardloom.sources import columnar as C
 from shardloom.sources import intermediate as I
 from shardloom.sources import timeparts as T
@@ -83,8 +84,7 @@ def register(r) -> None:
 
     @r.pair("insert_values", "SELECT n_nationkey, n_name FROM nation UNION ALL VALUES (100, 'X'), (101, NULL)")
     def _insert(spark, sf):
-        spark.sql("DROP TABLE IF EXISTS scan_nation")
-        table(spark, sf, "nation").select("n_nationkey", "n_name").write.saveAsTable("scan_nation")
+        save_table(table(spark, sf, "nation").select("n_nationkey", "n_name"), "scan_nation")
         spark.sql("INSERT INTO scan_nation VALUES (100, 'X'), (101, NULL)")
         return spark.table("scan_nation")
 

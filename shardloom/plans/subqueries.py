@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shardloom.catalog import table
+from shardloom.operators.tables import save_table
 from shardloom.operators.rewrites import greater_than_all, greater_than_any, recursive_union
 from shardloom.sources.intermediate import shared_folder
 
@@ -70,8 +71,7 @@ def register(r) -> None:
     @r.pair("materialized_view", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
     def _matview(spark, sf_dir):
         """Stored as a table; a refresh writes it anew."""
-        spark.sql("DROP TABLE IF EXISTS mv_status")
-        table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")).write.mode("overwrite").saveAsTable("mv_status")
+        save_table(table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")), "mv_status")
         return spark.table("mv_status")
 
 

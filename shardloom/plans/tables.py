@@ -126,8 +126,7 @@ def register(r) -> None:
     @r.pair("table_statistics", "SELECT count(*) AS n FROM customer")
     def _analyze(spark, sf):
         """ANALYZE, and the row count that the catalog then holds."""
-        spark.sql("DROP TABLE IF EXISTS t_stats")
-        table(spark, sf, "customer").write.saveAsTable("t_stats")
+        P.save_table(table(spark, sf, "customer"), "t_stats")
         spark.sql("ANALYZE TABLE t_stats COMPUTE STATISTICS FOR ALL COLUMNS")
         told = {x.col_name: x.data_type for x in spark.sql("DESCRIBE EXTENDED t_stats").collect()}
         return spark.createDataFrame([(int(told["Statistics"].split(",")[1].split()[0]),)], "n long")
@@ -145,8 +144,7 @@ def register(r) -> None:
         out = None
         for tenant, t in (("tenant_a", "nation"), ("tenant_b", "region")):
             spark.sql(f"CREATE DATABASE IF NOT EXISTS {tenant}")
-            spark.sql(f"DROP TABLE IF EXISTS {tenant}.data")
-            table(spark, sf, t).write.saveAsTable(f"{tenant}.data")
+            P.save_table(table(spark, sf, t), f"{tenant}.data")
             one = spark.table(f"{tenant}.data").agg(F.count("*").alias("n")).select(F.lit(tenant).alias("tenant"), "n")
             out = one if out is None else out.unionAll(one)
         return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +19,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = _roots.setdefault(app, tempfile.mkdtemp(prefix="shardloom-"))
+        if app not in _roots:
+            _roots[app] = tempfile.mkdtemp(prefix="shardloom-")
+            atexit.register(shutil.rmtree, _roots[app], ignore_errors=True)
+        root = _roots[app]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
