@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -55,6 +56,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         held = sc._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="shardloom-")
+        if not held.isDefined():
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
