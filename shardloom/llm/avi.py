@@ -340,7 +340,11 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes (without padding), media binary: an AVI of each whole text; null counts as empty. Other columns are left out."""
+    """doc_id, n_bytes (without padding), media binary: an AVI of each whole text.
+
+    One row for each row, no shuffle; equal texts give equal media. A null text counts as empty, and an
+    empty one is 64 zeros. Other columns are left out; an empty table gives an empty result.
+    """
     need(docs, doc_id, text)
     ship(docs.sparkSession)
 

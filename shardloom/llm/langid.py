@@ -152,7 +152,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def predict(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, languages, proportions; learned from the documents that aren't held out."""
+    """doc_id, held_out, lang_pred, score, languages, proportions; learned from the documents that aren't held out.
+
+    One row for each row, repeated ones too; equal texts get equal predictions. Null texts, empty texts
+    and texts without a letter are und with score 0. Of equally likely languages the first by name is
+    taken. Rows without text or lang teach nothing. Other columns are left out; an empty table gives an
+    empty result.
+    """
     model = fit(spark, docs.where(~held_out(F.col("doc_id"))))
     found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), identify(spark, model, F.col("text")).alias("r"))
     return found.select("doc_id", "held_out", "r.*")
