@@ -42,7 +42,18 @@ def n_words(text: Column) -> Column:
     return F.when(kept == "", F.lit(0)).otherwise(F.size(F.split(kept, SPACE, -1))).cast("long")
 
 
-def arrow_limits(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
+_slot: dict = {}
+
+
+def only(key, make):
+    """What make() gives, kept in a Python worker until another key is asked for: reused workers go from operator to operator."""
+    if key not in _slot:
+        _slot.clear()
+        _slot[key] = make()
+    return _slot[key]
+
+
+def arrow_limits(spark: SparkSession, rows: int = 1000, mb: int = 4) -> None:
     """Bound the Arrow batches that Python workers get, so that long texts don't add up; and give them this package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -28,7 +28,6 @@ outside the component that has most of the signature's classes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import arrow_limits, components, drop, fresh, need, shared_table
+from shardloom.llm.common import arrow_limits, components, drop, fresh, need, only, shared_table
 
 N_WORDS, THRESHOLD = 5, 80
 #: Least number of partitions of a band, so that small sets hardly ever put many elements in one.
@@ -52,6 +51,8 @@ MOST_SENT = 1_000_000
 MOST_BITS = 1 << 28
 #: Parities of the sketch that pairs are thinned by before their sets are compared; it tells sets of thousands of elements apart.
 FINE_CELLS = 4096
+#: Sets of so many elements carry the fine sketch from the start.
+FINE_FROM = 1024
 CELLS = 1024
 SKETCH = tuple(f"o{i}" for i in range(CELLS // 64))
 
@@ -66,15 +67,14 @@ class _Words(dict):
     """Hash of each word, kept for the next time; forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-@lru_cache(maxsize=1)
 def _words() -> _Words:
-    return _Words()
+    return only("words", _Words)
 
 
 def _factor(i: int) -> np.uint64:
@@ -135,33 +135,34 @@ def signatures(s: np.ndarray, t: int = THRESHOLD) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, id_col: str, text: str, n_words: int, t: int) -> DataFrame:
-    """id, n, digest, sketch and signatures of each document; a set that its partition has seen already brings no signatures again."""
+    """id, n, digest, sketches (the fine one from FINE_FROM elements on) and signatures of each document; a set that its partition has seen already brings no signatures again."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            n, d, o, sig = [], [], [], []
+            n, d, o, fine, sig = [], [], [], [], []
             for x in batch.column(1).to_pylist():
                 s = shingles(x, n_words)
                 key = xxhash.xxh3_128_digest(s.tobytes())
                 n.append(len(s))
                 d.append(key)
                 o.append(odd_sketch(s))
+                fine.append(odd_sketch(s, FINE_CELLS) if len(s) >= FINE_FROM else None)
                 sig.append(signatures(s, t).view(np.int64) if key not in seen else np.empty(0, np.int64))
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(key)
             o = np.array(o, np.int64).reshape(-1, len(SKETCH))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in sig]))).astype(np.int32)
             flat = np.concatenate(sig) if sig else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(d, pa.binary()), *(pa.array(o[:, i]) for i in range(len(SKETCH))), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["id", "n", "digest", *SKETCH, "sig"],
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(d, pa.binary()), *(pa.array(o[:, i]) for i in range(len(SKETCH))), pa.array(fine, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["id", "n", "digest", *SKETCH, "fine", "sig"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(work, f"id {kind}, n int, digest binary, {', '.join(f'{o} long' for o in SKETCH)}, sig array<long>")
+    return rows.mapInArrow(work, f"id {kind}, n int, digest binary, {', '.join(f'{o} long' for o in SKETCH)}, fine array<long>, sig array<long>")
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -216,11 +217,21 @@ def _distance(a: str, b: str) -> Column:
 def _close(a: str, b: str, t: int) -> Column:
     """What two linked sets fulfil: sizes within the threshold, and few parities that differ."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(n, m) >= t * F.greatest(n, m)) & (_distance(a, b) * (100 + t) <= (100 - t) * (n + m))
+    x, y = F.col(f"{a}.fine"), F.col(f"{b}.fine")
+    fits = lambda apart: apart * (100 + t) <= (100 - t) * (n + m)
+    coarse = (100 * F.least(n, m) >= t * F.greatest(n, m)) & fits(_distance(a, b))
+    return coarse & F.when(x.isNotNull() & y.isNotNull(), fits(_apart(x, y))).otherwise(F.lit(True))
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """In how many cells two fine sketches differ."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, d: acc + d)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n_words: int, t: int) -> DataFrame:
     """The links among distinct pairs (a, b, …), from the whole sets of the documents in them. The fine sketches go first, so that few sets move."""
+    if pairs.isEmpty():
+        return pairs
     ends = shared_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
     right = nodes.select(F.col("rep").alias("id"), "digest")
     sets = shared_table(_sets(docs, ends, n_words), "sets")
@@ -228,8 +239,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n_words: int,
         sets = sets.join(right, ["id", "digest"], "left_semi").dropDuplicates(["id"])
     told = sets.select("id", "fine", F.size("set").alias("n"))
     near = pairs.join(told.select(F.col("id").alias("b"), F.col("fine").alias("fb"), F.col("n").alias("nb")), "b").join(told.select(F.col("id").alias("a"), F.col("fine").alias("fa"), F.col("n").alias("na")), "a")
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    near = shared_table(near.where(apart * (100 + t) <= (100 - t) * (F.col("na") + F.col("nb"))).select(*pairs.columns), "near")
+    near = shared_table(near.where(_apart(F.col("fa"), F.col("fb")) * (100 + t) <= (100 - t) * (F.col("na") + F.col("nb"))).select(*pairs.columns), "near")
     both = near.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     found = shared_table(both.where(100 * common >= t * (F.size("sa") + F.size("sb") - common)).select(*pairs.columns), "links")
@@ -239,6 +249,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n_words: int,
 
 def _merged(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes with the components that edges (a, b) between their components connect."""
+    if edges.isEmpty():
+        return nodes
     label = components(edges).select(F.col("id").alias("component"), F.col("component").alias("new"))
     return shared_table(nodes.join(label, "component", "left").withColumn("component", F.coalesce("new", "component")).drop("new"), "nodes")
 
@@ -254,15 +266,44 @@ def _open(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows (sig, id) whose signature another row has, and the first and last of each partition, which may be alone.
+
+    Rows are range-partitioned and sorted by sig and id, so a signature of very many rows spreads over
+    partitions, and equal signatures are neighbours; a worker compares neighbours as they pass.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tied = None, True  # the last row waits for the next; tied: it is kept in any case
+        for batch in batches:
+            if not len(batch):
+                continue
+            sig = batch.column(0).to_numpy()
+            same = np.concatenate(([last is not None and last.column(0)[0].as_py() == sig[0]], sig[1:] == sig[:-1]))
+            if last is not None and (tied or same[0]):
+                yield last
+            keep = same.copy()
+            keep[:-1] |= same[1:]
+            if last is None:
+                keep[0] = True
+            if len(sig) > 1:
+                yield batch.slice(0, len(sig) - 1).filter(pa.array(keep[:-1]))
+            last, tied = batch.slice(len(sig) - 1), bool(keep[-1])
+        if last is not None:
+            yield last
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.repartitionByRange(parts, "sig", "id").sortWithinPartitions("sig", "id").mapInArrow(pick, f"sig long, id {kind}")
+
+
 def _buckets(shared: DataFrame, names: DataFrame) -> DataFrame:
     """sig, rep: the classes of each signature that several share; of signatures shared by the same classes one is kept."""
-    rows = shared.join(names.select("id", "rep"), "id").select("sig", "rep").repartition("sig").distinct()
-    by = Window.partitionBy("sig")
-    marked = rows.select("sig", "rep", F.count("*").over(by).alias("c"), F.bit_xor(F.xxhash64("rep", F.lit(1))).over(by).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(2))).over(by).alias("y"))
-    marked = shared_table(marked.where("c > 1"), "marked")
-    one = marked.groupBy("c", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
-    out = shared_table(marked.select("sig", "rep").join(one, "sig", "left_semi"), "buckets")
-    drop(marked)
+    rows = shared_table(shared.join(names.select("id", "rep"), "id").select("sig", "rep").distinct(), "rows")
+    prints = rows.groupBy("sig").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(2))).alias("y")).where("c > 1")
+    one = prints.groupBy("c", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    out = shared_table(rows.join(one, "sig", "left_semi"), "buckets")
+    drop(rows)
     return out
 
 
@@ -280,30 +321,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     signed = shared_table(_signed(docs, "id", "text", n_words, t), "signed")
     filled = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
     # rows with the smallest id of a set go by that id from here on
-    one = filled.groupBy("id").agg(F.min(F.struct("n", "digest", *SKETCH)).alias("x")).select("id", "x.*")
+    one = filled.groupBy("id").agg(F.min(F.struct("n", "digest", *SKETCH, "fine")).alias("x")).select("id", "x.*")
     classes = one.groupBy("n", "digest").agg(F.min("id").alias("rep"))
     names = shared_table(one.join(classes, ["n", "digest"]), "names")
     sizes = shared_table(signed.select("id", "n"), "sizes")
-    by = Window.partitionBy("sig").orderBy("id")
     lone = filled.where(F.size("sig") > 0).select("id", F.explode("sig").alias("sig"))
-    shared = lone.select("sig", "id", F.lag("id").over(by).alias("before"), F.lead("id").over(by).alias("after")).where("before is not null or after is not null").select("sig", "id")
-    shared = shared_table(shared, "shared")
+    shared = shared_table(_shared(lone.select("sig", "id")), "shared")
     drop(signed)
     buckets = _buckets(shared, names)
     drop(shared)
     reps = buckets.select("rep").distinct()
-    nodes = shared_table(names.where("id = rep").select("rep", "n", "digest", *SKETCH).join(reps, "rep", "left_semi").withColumn("component", F.col("rep")), "nodes")
+    nodes = shared_table(names.where("id = rep").select("rep", "n", "digest", *SKETCH, "fine").join(reps, "rep", "left_semi").withColumn("component", F.col("rep")), "nodes")
     docs = docs.where("id is not null")
 
     # round one: each class with the closest of the classes that come first in its signatures
-    first = Window.partitionBy("sig").orderBy("rep")
-    star = buckets.join(nodes, "rep").select(F.struct("rep", "n", *SKETCH).alias("p"), F.first(F.struct("rep", "n", *SKETCH)).over(first).alias("q")).where(F.col("p.rep") > F.col("q.rep")).where(_close("p", "q", t))
+    told = nodes.select("rep", F.struct("rep", "n", *SKETCH, "fine").alias("s"))
+    first = buckets.groupBy("sig").agg(F.min("rep").alias("first")).join(told.select(F.col("rep").alias("first"), F.col("s").alias("q")), "first")
+    star = buckets.join(first, "sig").where("rep > first").join(told.select("rep", F.col("s").alias("p")), "rep").where(_close("p", "q", t))
     star = star.groupBy(F.col("p.rep").alias("b")).agg(F.min(F.struct(_distance("p", "q").alias("d"), F.col("q.rep").alias("rep"))).alias("x")).select(F.col("x.rep").alias("a"), "b")
     nodes = _merged(nodes, _verified(shared_table(star, "pairs"), docs, nodes, n_words, t))
     open_ = _open(buckets, nodes)
 
     # round two: for each two components that meet in a signature, the closest pair of their firsts there
-    one = open_.groupBy("sig", "component", "main").agg(F.min(F.struct("rep", "n", *SKETCH)).alias("s"))
+    one = open_.groupBy("sig", "component", "main").agg(F.min(F.struct("rep", "n", *SKETCH, "fine")).alias("s"))
     heads = one.where("component = main").select("sig", F.col("component").alias("x"), F.col("s").alias("q"))
     near = one.where("component <> main").select("sig", F.col("component").alias("y"), F.col("s").alias("p")).join(heads, "sig").where(_close("p", "q", t))
     near = near.groupBy("x", "y").agg(F.min(F.struct(_distance("p", "q").alias("d"), F.col("p.rep").alias("a"), F.col("q.rep").alias("b"))).alias("z")).select("z.a", "z.b", "x", "y")
