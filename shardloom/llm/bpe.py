@@ -12,7 +12,6 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import need
+from shardloom.llm.common import need, only
 from shardloom.session import ship
 
 #: Fixed value: how the byte-level vocabularies cut a text into words.
@@ -39,7 +38,7 @@ def byte_letters() -> dict[str, int]:
 class BpeCodec:
     """Encoder and decoder of one byte-level vocabulary (a tokenizers JSON file)."""
 
-    def __init__(self, vocab: dict[bytes, int], ranks: dict[tuple[bytes, bytes], int], special: dict[str, int], cache_words: int = 500_000) -> None:
+    def __init__(self, vocab: dict[bytes, int], ranks: dict[tuple[bytes, bytes], int], special: dict[str, int], cache_words: int = 100_000) -> None:
         self.vocab, self.ranks, self.special, self.cache_words = vocab, ranks, special, cache_words
         self.bytes_of = {i: b for b, i in vocab.items()} | {i: s.encode() for s, i in special.items()}
         self.words = regex.compile(WORD_PATTERN)
@@ -141,10 +140,9 @@ class BpeCodec:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def _load(text: str) -> BpeCodec:
     """The codec of a file; a reused Python worker keeps it, with its word cache, for its next tasks."""
-    return BpeCodec.from_json(text)
+    return only(("bpe", text), lambda: BpeCodec.from_json(text))
 
 
 def _codec(spark: SparkSession, tokenizer_path: str):

@@ -108,7 +108,7 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)  # zstd keeps native memory for each open column
     _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
