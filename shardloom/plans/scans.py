@@ -70,10 +70,10 @@ def register(r) -> None:
         C.set_access_method(spark, b, c, "columnar")
         return C.read_columnar(spark, c).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
-    @r.pair("copy_csv", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey < 200")
-    def _csv(spark, sf):
+    @r.pair("copy_csv", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey < 200", cut="c_custkey < 200")
+    def _csv(spark, sf, where):
         path = shared_folder(spark, "csv")
-        copy_to(table(spark, sf, "customer").where("c_custkey < 200").select("c_custkey", "c_name", "c_acctbal"), path, header=True)
+        copy_to(table(spark, sf, "customer").where(where).select("c_custkey", "c_name", "c_acctbal"), path, header=True)
         return copy_from(spark, path, "c_custkey long, c_name string, c_acctbal double", header=True)
 
     @r.pair("copy_text", "SELECT id, v FROM (VALUES (1, 'a'), (2, NULL), (3, 'b,c')) t(id, v)")
