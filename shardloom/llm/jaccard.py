@@ -135,23 +135,24 @@ def signatures(s: np.ndarray, t: int = THRESHOLD) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, id_col: str, text: str, n_words: int, t: int) -> DataFrame:
-    """id, n, digest, sketches (the fine one from FINE_FROM elements on) and signatures of each document; a set that its partition has seen already brings no signatures again."""
+    """id, n, digest, sketches (the fine one from FINE_FROM elements on) and signatures of each document; a set that its partition has seen already under an id brings no signatures again, nor do rows without id."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             n, d, o, fine, sig = [], [], [], [], []
-            for x in batch.column(1).to_pylist():
+            for known, x in zip(batch.column(0).is_valid().to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles(x, n_words)
                 key = xxhash.xxh3_128_digest(s.tobytes())
                 n.append(len(s))
                 d.append(key)
                 o.append(odd_sketch(s))
                 fine.append(odd_sketch(s, FINE_CELLS) if len(s) >= FINE_FROM else None)
-                sig.append(signatures(s, t).view(np.int64) if key not in seen else np.empty(0, np.int64))
+                sig.append(signatures(s, t).view(np.int64) if known and key not in seen else np.empty(0, np.int64))
                 if len(seen) > 200_000:
                     seen.clear()
-                seen.add(key)
+                if known:
+                    seen.add(key)
             o = np.array(o, np.int64).reshape(-1, len(SKETCH))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in sig]))).astype(np.int32)
             flat = np.concatenate(sig) if sig else np.empty(0, np.int64)
@@ -297,6 +298,18 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(parts, "sig", "id").sortWithinPartitions("sig", "id").mapInArrow(pick, f"sig long, id {kind}")
 
 
+def _carried(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """id, sig of rows that bring signatures. An id with several sets may bring those of one that it isn't placed by; they go to the set's class, if there is one."""
+    odd = names.where("several").select("id")
+    n = odd.count()
+    if not n:
+        return rows.select("id", "sig")
+    odd = F.broadcast(odd) if n <= MOST_SENT else odd
+    classes = names.where("id = rep").select("n", "digest", "rep")
+    strays = rows.join(odd, "id", "left_semi").join(classes, ["n", "digest"]).select(F.col("rep").alias("id"), "sig")
+    return rows.join(odd, "id", "left_anti").select("id", "sig").unionByName(strays)
+
+
 def _buckets(shared: DataFrame, names: DataFrame) -> DataFrame:
     """sig, rep: the classes of each signature that several share; of signatures shared by the same classes one is kept."""
     rows = shared_table(shared.join(names.select("id", "rep"), "id").select("sig", "rep").distinct(), "rows")
@@ -321,11 +334,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     signed = shared_table(_signed(docs, "id", "text", n_words, t), "signed")
     filled = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
     # rows with the smallest id of a set go by that id from here on
-    one = filled.groupBy("id").agg(F.min(F.struct("n", "digest", *SKETCH, "fine")).alias("x")).select("id", "x.*")
+    one = filled.groupBy("id").agg(F.min(F.struct("n", "digest", *SKETCH, "fine")).alias("x"), (F.min("digest") < F.max("digest")).alias("several")).select("id", "several", "x.*")
     classes = one.groupBy("n", "digest").agg(F.min("id").alias("rep"))
     names = shared_table(one.join(classes, ["n", "digest"]), "names")
     sizes = shared_table(signed.select("id", "n"), "sizes")
-    lone = filled.where(F.size("sig") > 0).select("id", F.explode("sig").alias("sig"))
+    lone = _carried(filled.where(F.size("sig") > 0), names).select("id", F.explode("sig").alias("sig"))
     shared = shared_table(_shared(lone.select("sig", "id")), "shared")
     drop(signed)
     buckets = _buckets(shared, names)
