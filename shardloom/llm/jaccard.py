@@ -1,4 +1,6 @@
-"""N-gram Jaccard join with PartEnum signatures: every link at the threshold, and what it connects.
+"""N-gram Jaccard join with signatures after PartEnum: every link at the threshold, and what it connects.
+
+Unlike PartEnum, no subsets of partitions are enumerated: a prefix of one-partition projections takes their place.
 
 A document's set holds the 64-bit hashes of its word n-grams. Sets fall into bands of size by powers
 of two. For band b the domain of hashes is cut into P(b) equal partitions. A set's projection on a
