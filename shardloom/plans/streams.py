@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from shardloom.catalog import table
+from shardloom.operators import modify as M
 from shardloom.sources.intermediate import shared_folder
 from shardloom.streaming import changes as S
 
@@ -96,5 +97,6 @@ def register(r) -> None:
     def _incremental(spark, sf):
         """INSERT … SELECT … ON CONFLICT DO UPDATE: a rollup that takes two batches."""
         e = table(spark, sf, "events").withColumn("h", F.date_trunc("hour", "ts"))
-        part = lambda which: e.where(which).groupBy("h", "event_type").agg(F.count("*").alias("n"))
-        return part("event_id < 4000").unionByName(part("event_id >= 4000")).groupBy("h", "event_type").agg(F.sum("n").alias("n"))
+        part = lambda which: e.where(which).groupBy(F.struct("h", "event_type").alias("key")).agg(F.count("*").alias("n"))
+        both = M.upsert(part("event_id < 4000"), part("event_id >= 4000"), "key", {"n": F.col("n") + F.col("excluded.n")})
+        return both.select("key.h", "key.event_type", "n")
