@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter
@@ -303,8 +304,19 @@ def test_long_and_short_words_agree():
     codec = bpe.BpeCodec.from_json(open(tokenizer_path(), encoding="utf-8").read())
     r = random.Random(2)
     for _ in range(200):
-        w = "".join(r.choice("aeinrst ") for _ in range(r.randrange(2, 200))).encode()
-        assert codec._cuts(w) == codec._cuts_long(w)
+        w = "".join(r.choice("aeinrst ") for _ in range(r.randrange(1, 200))).encode()
+        cuts, ids = codec.parts(w)
+        assert ids == codec._long_parts(w)
+        assert [w[a:b] for a, b in zip(cuts, cuts[1:])] == [codec.bytes_of[i] for i in ids]
+
+
+def test_words_survive_one_change_of_generation():
+    codec = bpe.BpeCodec.from_json(open(tokenizer_path(), encoding="utf-8").read())
+    codec.words.most = 3
+    texts = ["a bb ccc dddd eeeee"] * 3 + [" a bb", "zz yy xx ww vv uu tt"]
+    fresh = bpe.BpeCodec.from_json(open(tokenizer_path(), encoding="utf-8").read())
+    assert [codec.encode(t) for t in texts] == [fresh.encode(t) for t in texts]
+    assert len(codec.words) <= 3 and len(codec.words.old) <= 3
 
 
 def test_decoding_broken_utf8(library):
@@ -324,6 +336,21 @@ def test_round_trip_columns(spark, library):
     assert bpe.round_trip(spark, t.limit(0), tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("change", [{"byte_fallback": True}, {"end_of_word_suffix": "</w>"}, {"dropout": 0.1}])
+def test_options_that_change_ids_are_refused(change):
+    j = json.loads(open(tokenizer_path(), encoding="utf-8").read())
+    j["model"] |= change
+    with pytest.raises(ValueError):
+        bpe.BpeCodec.from_json(json.dumps(j))
+
+
+def test_tokens_with_strip_options_are_refused():
+    j = json.loads(open(tokenizer_path(), encoding="utf-8").read())
+    j["added_tokens"][0]["lstrip"] = True
+    with pytest.raises(ValueError):
+        bpe.BpeCodec.from_json(json.dumps(j))
+
+
 def test_other_vocabularies_are_refused():
     with pytest.raises(ValueError):
         bpe.BpeCodec.from_json('{"model": {"type": "WordPiece", "vocab": {}, "merges": []}}')
