@@ -1,19 +1,26 @@
-"""N-gram Jaccard join with signatures after PartEnum: every link at the threshold, and what it connects.
-
-Unlike PartEnum, no subsets of partitions are enumerated: a prefix of one-partition projections takes their place.
+"""N-gram Jaccard join with PartEnum signatures: every link at the threshold, and what it connects.
 
 A document's set holds the 64-bit hashes of its word n-grams. Sets fall into bands of size by powers
-of two. For band b the domain of hashes is cut into P(b) equal partitions. A set's projection on a
-partition, if it isn't empty, is one signature.
-
-Two sets r, s with Jaccard >= t % differ in at most k = (100 - t)(|r| + |s|) / (100 + t) elements, so
-at most k of r's projections are missing from s. Taken in the order of partitions, the first k + 1
-signatures of r and of s (k with the largest s that r's size admits) therefore hold a common one:
-were r's first common signature behind its first k + 1, k + 1 of its projections would be missing
-from s. A set also signs for the next band if a partner can lie there. A set with at most k
-projections that aren't empty signs its empty partitions too, in a space of their own that only such
-sets use, since two of them may agree in nothing else. So no link is lost, and no signature is
-shared by sets for being empty.
+of two; a set signs for its own band, and for the next one if a partner can lie there. For each band
+the domain of hashes is cut into first-level partitions of about _load() elements at the band's largest
+size (8 at 80 %), and each of these into SECOND (in the bands of small sets SECOND_SMALL) second-level partitions. In a
+first-level partition all subsets that leave LEFT_OUT of its second-level partitions out are enumerated;
+the projection of the set on such a subset, if it isn't empty, is a signature.
+
+Why linked sets share one: sets r, s with Jaccard >= t % differ in at most k = (100 - t)(|r| + |s|) / (100 + t)
+elements. Call a first-level partition common if r and s agree, and aren't empty, on one of its
+enumerated subsets. Let r occupy j second-level partitions of one that isn't common. If r and s differ in
+more than LEFT_OUT of them, it holds at least LEFT_OUT + 1 differences. If not, r's j partitions all
+differ, since a subset around one that agrees would be common; it holds at least j. So each partition that
+isn't common holds at least c = min(j, LEFT_OUT + 1) differences. In the order of partitions, those of r before
+the first common one have a sum of c of at most k. A set therefore signs partitions in order as long as the sum of c
+of those before is at most k (with the largest partner that its size admits), and the first common
+one is signed by r and by s. Where the sum over all of a set's partitions is at most k, there may be no common one:
+such sets, which are rare (many elements must have met in few partitions), sign all of theirs and once more
+under another hash of the elements, in a space of their own; after LEVELS such attempts they share a
+signature. If one of two linked sets has a large enough sum, a common partition exists and the other signs
+all it has; if neither has, both go on to the next hash. So no link is lost, and no signature is
+shared by sets for being empty. Sets with k = 0 link with equal sets only and need no signature.
 
 Equal sets are one class from the start (grouped by a 128-bit digest), so copies cost no pairs.
 Candidates are the classes that share a signature, thinned by size and by odd sketches: the parity
@@ -30,6 +37,7 @@ outside the component that has most of the signature's classes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +48,17 @@ from pyspark.sql import functions as F
 from shardloom.llm.common import arrow_limits, components, drop, fresh, need, only, shared_table
 
 N_WORDS, THRESHOLD = 5, 80
-#: Least number of partitions of a band, so that small sets hardly ever put many elements in one.
-LEAST_PARTS = 64
-#: Elements per partition at a band's largest size. Beyond 1 / 0.25 = 4, a set at 80 % has too few projections.
-LOAD = 3
+#: Second-level partitions of one, and how many of them an enumerated subset leaves out.
+SECOND, LEFT_OUT = 3, 1
+#: The bands below this one (of sets below 32 elements) have more second-level partitions, so that few elements meet in one.
+SECOND_SMALL, SMALL_BANDS = 12, 5
+#: Hashes under which sets sign whose elements lie in too few partitions. Below a threshold of about 40 % most do, and share signatures for it.
+LEVELS = 4
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # fixed values: multipliers of a 64-bit mixer
 _S = np.uint64(33)
 _U32 = np.uint64(32)
+#: Classes of more rows than this and than a part in HOT_PARTS of all rows are found by a broadcast of at most HOT_PARTS rows.
+HOT, HOT_PARTS = 256, 10_000
 #: So many ids are broadcast at most (about 50 MB as a hash table).
 MOST_SENT = 1_000_000
 #: Largest bitmap of ids that is sent to the workers: 32 MB.
@@ -84,18 +96,43 @@ def _factor(i: int) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest(b"place %d" % i) | 1)
 
 
-def shingles(text: str | None, n_words: int = N_WORDS) -> np.ndarray:
-    """The sorted distinct hashes of a text's word n-grams, A-Z lower-cased; of all its words, if they are fewer; empty without words."""
-    words = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: ASCII letters and ASCII white space only
-    if not words:
-        return np.empty(0, np.uint64)
+def shingle_sets(texts: list[str | None], n_words: int = N_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of some texts one after another, each sorted, and the bounds between them.
+
+    A set holds the distinct hashes of a text's word n-grams, A-Z lower-cased; of all its words, if they are fewer; nothing without words.
+    """
+    words: list[bytes] = []
+    bounds = [0]
+    for x in texts:
+        words += (x or "").encode("utf-8", "replace").lower().split()  # of bytes: ASCII letters and ASCII white space only
+        bounds.append(len(words))
     h = np.fromiter(map(_words().__getitem__, words), np.uint64, len(words))
-    n = min(n_words, len(words))
-    size = len(words) - n + 1
-    total = np.full(size, n, np.uint64)
-    for i in range(n):
-        total = total + h[i : i + size] * _factor(i)
-    return np.unique(_mix(total))
+    at = np.array(bounds, np.int64)
+    n = np.diff(at)
+    whole = np.zeros(len(words), np.uint64)
+    last = max(0, len(words) - n_words + 1)
+    for i in range(n_words):
+        whole[:last] += h[i : i + last] * _factor(i)
+    whole += np.uint64(n_words)
+    for d in np.flatnonzero((n > 0) & (n < n_words)):
+        own = h[at[d] : at[d + 1]]
+        whole[at[d]] = (own * np.array([_factor(i) for i in range(len(own))])).sum() + np.uint64(len(own))
+    size = np.where(n > 0, np.maximum(n - n_words, 0) + 1, 0)
+    ends = np.concatenate(([0], np.cumsum(size)))
+    # the first size[d] places of each text
+    flat = _mix(whole[np.arange(ends[-1]) + np.repeat(at[:-1] - ends[:-1], size)])
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        flat[a:b].sort()
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[ends[:-1][size > 0]] = True
+    kept = np.concatenate(([0], np.cumsum(new)))
+    return flat[new], kept[ends]
+
+
+def shingles(text: str | None, n_words: int = N_WORDS) -> np.ndarray:
+    """The set of one text."""
+    return shingle_sets([text], n_words)[0]
 
 
 def odd_sketch(s: np.ndarray, cells: int = CELLS) -> np.ndarray:
@@ -104,36 +141,100 @@ def odd_sketch(s: np.ndarray, cells: int = CELLS) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def most_missing(n: int, largest: int, t: int) -> int:
+def odd_sketches(s: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The sketches of CELLS parities of some sets, one after another: a row for each."""
+    place = np.repeat(np.arange(len(size)), size) * CELLS + (s & np.uint64(CELLS - 1)).astype(np.int64)
+    odd = np.bincount(place, minlength=len(size) * CELLS).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(-1, CELLS), axis=1).view(np.int64)
+
+
+def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """Numbers as lists of so many each."""
+    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+
+
+def most_missing(n, largest, t: int):
+    """In how many elements a set of n and a linked one of at most so many can differ."""
     return (100 - t) * (n + largest) // (100 + t)
 
 
+def _load(t: int) -> float:
+    """Elements of a first-level partition at a band's largest size: a ninth fewer than would leave just as many partitions as k needs."""
+    return 8 / 9 * (LEFT_OUT + 1) * (100 + t) / max(1, 2 * (100 - t))
+
+
+def _enumerated(s: np.ndarray, size: np.ndarray, band: np.ndarray, k: np.ndarray, second: int, level: int, load: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of sets (one after another, each sorted, none empty), which set each is of, and which sets have too few partitions for their k."""
+    owner = np.repeat(np.arange(len(size)), size)
+    cells = np.ceil((np.int64(2) << band) / load).astype(np.int64) * second
+    cell = (((s >> _U32) * cells.astype(np.uint64)[owner]) >> _U32).astype(np.int64)  # sets are sorted, so cells and partitions are runs
+    run = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (owner[1:] != owner[:-1]))))
+    sums = np.add.reduceat(_mix(s ^ np.uint64(0x5DEECE66D)), run)
+    of, part, which = owner[run], cell[run] // second, cell[run] % second
+    new = np.concatenate(([True], (part[1:] != part[:-1]) | (of[1:] != of[:-1])))
+    first = np.flatnonzero(new)
+    held = np.diff(np.append(first, len(run)))
+    cost = np.minimum(held, LEFT_OUT + 1)
+    at = of[first]
+    begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    before = np.cumsum(cost) - cost
+    failed = np.add.reduceat(cost, begin) <= k
+    taken = before - before[begin][at] <= k[at]  # every set has a partition, so begin has a place for each
+
+    table = np.zeros((len(first), second), np.uint64)
+    table[np.cumsum(new) - 1, which] = sums
+    empty = np.ones(table.shape, bool)
+    empty[np.cumsum(new) - 1, which] = False
+    table, empty, held, at = table[taken], empty[taken], held[taken], at[taken]
+    total = table.sum(axis=1)
+    label = _mix((np.uint64(level) << np.uint64(56)) + (band[at].astype(np.uint64) << np.uint64(48)) + part[first][taken].astype(np.uint64) + np.uint64(1))
+    rank = np.cumsum(empty, axis=1)  # 1 for the first empty place of a row
+    sig, of = [], []
+    for out in map(list, combinations(range(second), LEFT_OUT)):
+        idle = empty[:, out]
+        # subsets that differ in empty places only give one projection: the first empty places stand for all
+        some = (held - (~idle).sum(axis=1) > 0) & (~idle | (rank[:, out] <= idle.sum(axis=1, keepdims=True))).all(axis=1)
+        sig.append(_mix((total - table[:, out].sum(axis=1))[some] + label[some]))
+        of.append(at[some])
+    return np.concatenate(sig), np.concatenate(of), failed
+
+
+def signatures_of(s: np.ndarray, ends: np.ndarray, t: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of some sets of sorted hashes, one after another between ends, and the bounds between the signatures of each."""
+    size = np.diff(ends)
+    own = np.frexp(size.astype(float))[1].astype(np.int64) - 1
+    largest = 100 * size // t
+    sigs, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for step in (0, 1):
+        band = own + step
+        top = (np.int64(2) << np.maximum(band, 0)) - 1  # the largest size of a band
+        k = most_missing(size, np.minimum(largest, top), t)
+        wanted = (k > 0) & ((step == 0) | (largest > top >> 1))
+        for second in (SECOND_SMALL, SECOND):
+            sets = np.flatnonzero(wanted & ((band < SMALL_BANDS) == (second == SECOND_SMALL)))
+            for level in range(LEVELS):
+                if not len(sets):
+                    break
+                n = size[sets]
+                begin = np.cumsum(n) - n
+                x = s[np.arange(n.sum()) + np.repeat(ends[sets] - begin, n)]
+                if level:
+                    x = _mix(x ^ np.uint64(0xE7037ED1A0B428DB + level))
+                    x = x[np.lexsort((x, np.repeat(np.arange(len(sets)), n)))]
+                sig, at, failed = _enumerated(x, n, band[sets], k[sets], second, level, _load(t))
+                sigs.append(sig)
+                of.append(sets[at])
+                sets = sets[failed]
+            sigs.append(_mix(band[sets].astype(np.uint64) + np.uint64(0xA0761D6478BD642F)))
+            of.append(sets)
+    flat, at = np.concatenate(sigs), np.concatenate(of)
+    return flat[np.argsort(at, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(size)))))
+
+
 def signatures(s: np.ndarray, t: int = THRESHOLD) -> np.ndarray:
-    """Signatures of a set of sorted hashes: in its band, and in the next if a partner can be there."""
-    n = len(s)
-    if not n:
-        return np.empty(0, np.uint64)
-    largest, band = 100 * n // t, n.bit_length() - 1
-    inner = _mix(s ^ np.uint64(0x5DEECE66D))
-    out = []
-    for b in (band, band + 1):
-        top = (2 << b) - 1  # the largest size of band b
-        if b > band and largest <= top >> 1:
-            break
-        k = most_missing(n, min(largest, top), t)
-        parts = max(LEAST_PARTS, -(-(top + 1) // LOAD))
-        at = ((s >> _U32) * np.uint64(parts)) >> _U32  # s is sorted, so each partition is a run
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        fails = len(first) <= k
-        take = len(first) if fails else k + 1
-        end = first[take] if take < len(first) else n
-        sums = np.add.reduceat(inner[:end], first[:take])
-        label = (np.uint64(b) << _U32) | at[first[:take]]
-        out.append(_mix(sums + _mix(label + np.uint64(1))))
-        if fails:
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), at[first])
-            out.append(_mix(_mix(empty | (np.uint64(b) << _U32)) ^ np.uint64(0xE7037ED1A0B428DB)))
-    return np.concatenate(out)
+    """The signatures of one set of sorted hashes."""
+    return signatures_of(s, np.array([0, len(s)]), t)[0]
 
 
 def _signed(docs: DataFrame, id_col: str, text: str, n_words: int, t: int) -> DataFrame:
@@ -142,24 +243,26 @@ def _signed(docs: DataFrame, id_col: str, text: str, n_words: int, t: int) -> Da
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            n, d, o, fine, sig = [], [], [], [], []
-            for known, x in zip(batch.column(0).is_valid().to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(x, n_words)
-                key = xxhash.xxh3_128_digest(s.tobytes())
-                n.append(len(s))
-                d.append(key)
-                o.append(odd_sketch(s))
-                fine.append(odd_sketch(s, FINE_CELLS) if len(s) >= FINE_FROM else None)
-                sig.append(signatures(s, t).view(np.int64) if known and key not in seen else np.empty(0, np.int64))
+            s, ends = shingle_sets(batch.column(1).to_pylist(), n_words)
+            size = np.diff(ends)
+            bounds = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            digests = [xxhash.xxh3_128_digest(s[a:b].data) for a, b in bounds]
+            signs = []
+            for known, key in zip(batch.column(0).is_valid().to_pylist(), digests, strict=True):
+                signs.append(known and key not in seen)
                 if len(seen) > 200_000:
                     seen.clear()
                 if known:
                     seen.add(key)
-            o = np.array(o, np.int64).reshape(-1, len(SKETCH))
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in sig]))).astype(np.int32)
-            flat = np.concatenate(sig) if sig else np.empty(0, np.int64)
+            signs = np.array(signs, bool)
+            part = np.concatenate(([0], np.cumsum(size[signs])))
+            flat, own = signatures_of(s[np.repeat(signs, size)], part, t)
+            counts = np.zeros(len(size), np.int64)
+            counts[signs] = np.diff(own)
+            o = odd_sketches(s, size)
+            fine = [odd_sketch(s[a:b], FINE_CELLS) if b - a >= FINE_FROM else None for a, b in bounds]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(d, pa.binary()), *(pa.array(o[:, i]) for i in range(len(SKETCH))), pa.array(fine, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                [batch.column(0), pa.array(size.astype(np.int32)), pa.array(digests, pa.binary()), *(pa.array(o[:, i]) for i in range(len(SKETCH))), pa.array(fine, pa.list_(pa.int64())), _lists(flat, counts)],
                 names=["id", "n", "digest", *SKETCH, "fine", "sig"],
             )
 
@@ -191,10 +294,6 @@ def _sets(docs: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
         docs = docs.join(F.broadcast(ids), "id", "left_semi")
     sent = docs.sparkSession.sparkContext.broadcast(None if few else _bitmap(ids))
 
-    def lists(rows: list[np.ndarray]) -> pa.ListArray:
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).view(np.int64)))
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = sent.value
         for batch in batches:
@@ -204,8 +303,13 @@ def _sets(docs: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
                 some = batch.filter(pa.array((bitmap[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1))
             if not len(some):
                 continue
-            sets = [shingles(x, n_words) for x in some.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([some.column(0), lists(sets), lists([odd_sketch(x, FINE_CELLS) for x in sets]), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())], names=["id", "set", "fine", "digest"])
+            s, ends = shingle_sets(some.column(1).to_pylist(), n_words)
+            sets = [s[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            fine = np.concatenate([odd_sketch(x, FINE_CELLS) for x in sets])
+            yield pa.RecordBatch.from_arrays(
+                [some.column(0), _lists(s, np.diff(ends)), _lists(fine, np.full(len(sets), FINE_CELLS // 64)), pa.array([xxhash.xxh3_128_digest(x.data) for x in sets], pa.binary())],
+                names=["id", "set", "fine", "digest"],
+            )
 
     kind = docs.schema["id"].dataType.simpleString()
     # the size of the bitmap divides 2 ** 62, so the lower bits of the hash give the place
@@ -300,6 +404,20 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(parts, "sig", "id").sortWithinPartitions("sig", "id").mapInArrow(pick, f"sig long, id {kind}")
 
 
+def _named(one: DataFrame) -> DataFrame:
+    """one (id, n, digest, …) with rep, the smallest id of each set.
+
+    Classes are found by partial sums. Those of one row need no look-up. Those of over HOT rows and a HOT_PARTS-th
+    of all, which are at most HOT_PARTS, are broadcast; the other rows meet their class in a join, in which
+    no key has more rows than that.
+    """
+    classes = shared_table(one.groupBy("n", "digest").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1"), "classes")
+    many = F.col("c") > max(HOT, one.count() // HOT_PARTS)
+    told = one.join(F.broadcast(classes.where(many).drop("c")), ["n", "digest"], "left")
+    rest = told.where("rep is null").drop("rep").join(classes.where(~many).drop("c"), ["n", "digest"], "left")
+    return told.where("rep is not null").unionByName(rest.withColumn("rep", F.coalesce("rep", "id")))
+
+
 def _carried(rows: DataFrame, names: DataFrame) -> DataFrame:
     """id, sig of rows that bring signatures. An id with several sets may bring those of one that it isn't placed by; they go to the set's class, if there is one."""
     odd = names.where("several").select("id")
@@ -337,8 +455,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     filled = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
     # rows with the smallest id of a set go by that id from here on
     one = filled.groupBy("id").agg(F.min(F.struct("n", "digest", *SKETCH, "fine")).alias("x"), (F.min("digest") < F.max("digest")).alias("several")).select("id", "several", "x.*")
-    classes = one.groupBy("n", "digest").agg(F.min("id").alias("rep"))
-    names = shared_table(one.join(classes, ["n", "digest"]), "names")
+    names = shared_table(_named(shared_table(one, "one")), "names")
     sizes = shared_table(signed.select("id", "n"), "sizes")
     lone = _carried(filled.where(F.size("sig") > 0), names).select("id", F.explode("sig").alias("sig"))
     shared = shared_table(_shared(lone.select("sig", "id")), "shared")

@@ -214,10 +214,48 @@ def test_signatures_are_shared_by_all_similar_sets(t):
             grow = rng.integers(0, grow + 1)
             b = np.unique(np.concatenate([rng.permutation(a)[cut:], draw(grow)]))
             both = len(np.intersect1d(a, b))
-            if 100 * both >= t * (len(a) + len(b) - both):
+            if 100 * both >= t * (len(a) + len(b) - both) and both < max(len(a), len(b)):  # equal sets are one class and need none
                 assert np.intersect1d(jaccard.signatures(a, t), jaccard.signatures(b, t)).size, (n, cut, grow)
 
 
+def test_sets_whose_elements_meet_in_one_partition_share_signatures():
+    """Equal high bits put all elements in one second-level partition; another hash, or at last one signature for all of them, must do."""
+    rng = np.random.default_rng(3)
+    for n in (8, 40, 300):
+        a = np.unique(rng.integers(0, 1 << 31, n, dtype=np.uint64) | np.uint64(5 << 40))
+        b = np.unique(np.concatenate([a[1:], rng.integers(0, 1 << 31, 1, dtype=np.uint64) | np.uint64(5 << 40)]))
+        assert np.intersect1d(jaccard.signatures(a), jaccard.signatures(b)).size
+        assert len(np.unique(jaccard.signatures(a))) > 1
+
+
+def test_subsets_leave_second_level_partitions_out():
+    """A difference of one element in a set of one first-level partition leaves a common signature, though no projection on the whole partition is common."""
+    rng = np.random.default_rng(4)
+    a = np.unique(rng.integers(0, 1 << 63, 6, dtype=np.uint64))
+    b = np.sort(np.append(a[1:], np.uint64(12345678901234567)))
+    size, band = np.array([6]), np.array([2])
+    one, of, failed = jaccard._enumerated(a, size, band, np.array([1]), 12, 0, 8.0)
+    two, _, _ = jaccard._enumerated(b, size, band, np.array([1]), 12, 0, 8.0)
+    assert not failed[0] and len(one) > 1 and set(of) == {0}
+    assert np.intersect1d(one, two).size
+
+
+def test_shingles_of_many_texts_equal_those_of_each():
+    texts = [None, "", "a", "a b c d", "a b c d e", "A b C d e f", "x " * 40, " ", "one two three four five six seven"]
+    flat, ends = jaccard.shingle_sets(texts)
+    assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:])] == [jaccard.shingles(t).tolist() for t in texts]
+    assert np.diff(ends).tolist() == [0, 0, 1, 1, 1, 2, 1, 0, 3]
+
+
+def test_large_classes_find_their_least_id(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 5)
+    monkeypatch.setattr(jaccard, "HOT_PARTS", 10)
+    many = " ".join(f"h{i}" for i in range(30))
+    rows = [(100 + i, many, None, None) for i in range(20)] + [(i, f"pair {i // 2} a b c d e f", None, None) for i in range(20)] + [(50, many + " z", None, None)]
+    got = {x.doc_id: x.component_id for x in jaccard.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {**{100 + i: 50 for i in range(20)}, **{i: i - i % 2 for i in range(20)}, 50: 50}
+
+
 def test_near_duplicates_at_the_edges(spark):
     t = docs(spark, EDGE).withColumn("component", F.lit("clash")).withColumn("id", F.lit(0)).withColumn("Key", F.lit(0)).withColumn("one", F.lit(0))
     got = sorted(map(tuple, jaccard.near_duplicates(t).collect()), key=repr)
