@@ -42,6 +42,53 @@ def n_words(text: Column) -> Column:
     return F.when(kept == "", F.lit(0)).otherwise(F.size(F.split(kept, SPACE, -1))).cast("long")
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with value computed once: an expression that a lambda names is computed anew wherever it is named, a variable isn't."""
+    return F.transform(F.array(value), use)[0]
+
+
+#: Elements of a block of sweep and cut.
+BLOCK = 256
+
+
+def _blocks(items: Column) -> Column:
+    last = F.greatest(F.ceil(F.size(items) / BLOCK).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def sweep(items: Column, step, kind: str) -> Column:
+    """struct<at:int, out:array<kind>>: step(at, item) gives the next at, an element of out, and whether that is kept; at begins with 0.
+
+    Appending to a list copies it, so elements are gathered by blocks: n items cost n * BLOCK + (n / BLOCK)^2 copied
+    references, not n^2. items should be a column or a bound variable.
+    """
+    begin = lambda at, depth: F.struct(at.alias("at"), F.array().cast(depth.format(kind)).alias("out"))
+
+    def inner(acc: Column, x: Column) -> Column:
+        at, element, kept = step(acc["at"], x)
+        return F.struct(at.cast("int").alias("at"), F.when(kept, F.concat(acc["out"], F.array(element.cast(kind)))).otherwise(acc["out"]).alias("out"))
+
+    def outer(acc: Column, block: Column) -> Column:
+        done = F.aggregate(block, begin(acc["at"], "array<{}>"), inner)
+        return bind(done, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    return F.aggregate(_blocks(items), begin(F.lit(0), "array<array<{}>>"), outer, lambda acc: F.struct(acc["at"].alias("at"), F.flatten(acc["out"]).alias("out")))
+
+
+def cut(text: Column, spans: Column) -> Column:
+    """array<string>: text at spans (struct<start, end>, in order, apart), code points.
+
+    A substring is searched from the text's start, so a block's stretch is taken first, and its spans from that.
+    """
+
+    def pieces(block: Column) -> Column:
+        first = block[0]["start"]
+        stretch = F.substring(text, first + 1, F.element_at(block, -1)["end"] - first)
+        return bind(stretch, lambda x: F.transform(block, lambda s: F.substring(x, s["start"] - first + 1, s["end"] - s["start"])))
+
+    return F.when(F.size(spans) == 0, F.array().cast("array<string>")).otherwise(F.flatten(F.transform(_blocks(spans), pieces)))
+
+
 _slot: dict = {}
 
 

@@ -3,11 +3,16 @@
 Positions: Java's regular expressions give the matches (regexp_extract_all) and what lies between
 them (split), so a running sum of lengths gives each match's place in code points.
 
-Entropy: a candidate is a maximal run of 20 or more letters, digits and + / _ = -. Its character
-class (hexadecimal, or mixed letters and digits) sets the threshold. A window of WINDOW characters
-slides over it; the counts of its characters and the sum of c * log2(c) are updated by the character
-that enters and the one that leaves, so no window is counted anew. The span goes from the first to
-the last window whose Shannon entropy reaches the threshold. Candidates on the allow list give none.
+Entropy: a candidate is a maximal run of 20 or more letters, digits and + / _ = -. Two classes of
+characters are looked at: the whole candidate as mixed letters and digits, unless it is hexadecimal, and
+each maximal run of 20 or more hexadecimal digits in it. Each class has its threshold; strings
+of letters alone or digits alone have none and give no span. A window of WINDOW
+characters slides over a string; the counts of its characters, packed 12 to a 64-bit number, and the
+sum of c * log2(c) are updated by the character that enters and the one that leaves, so no window is counted
+anew. Windows whose Shannon entropy reaches the threshold make spans; those that overlap or touch
+make one. Candidates on the allow list give none.
+
+Texts may be of any length: work grows with the text and the number of matches, not with their product.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import fresh, need
+from shardloom.llm.common import bind, cut, fresh, need, sweep
 
 # The base patterns.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,8 +32,10 @@ KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 
 WINDOW = 20
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}"
+HEX_RUN = rf"(?<![0-9a-fA-F])[0-9a-fA-F]{{{WINDOW},}}"
+#: The codes of a candidate's characters go from + to z; counts of up to 31 take 5 bits.
+LOWEST, CODES, PACKED, BITS = ord("+"), ord("z") - ord("+") + 1, 12, 5
 #: Bits per character that a window must reach; a window of 20 random characters has about 3.3 of 16 and 4.1 of 64.
 HEX_BITS, MIXED_BITS = 2.8, 3.7
 #: Candidates that match one of these are no secrets: UUIDs, integrity digests by name, documented examples.
@@ -42,20 +49,25 @@ SPAN = "struct<start:int,kind:int,end:int>"
 SPANS = f"array<{SPAN}>"
 
 
-def _places(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans of the matches that keep() accepts."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+def _found(text: Column, pattern: str) -> Column:
+    """array<struct<start, hit>>: the matches of a pattern. A text without any is searched once."""
+    kind = "struct<start:int,hit:string>"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")).cast(SPAN)
-        return F.struct(end.alias("at"), F.when(keep(x["hit"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def place(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        items = F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("hit"), F.length(g).alias("gap")))
 
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    return F.aggregate(pairs, begin, step, lambda acc: acc["out"])
+        def step(at: Column, x: Column):
+            start = at + x["gap"]
+            return start + F.length(x["hit"]), F.struct(start.alias("start"), x["hit"].alias("hit")), F.lit(True)
+
+        return bind(items, lambda i: sweep(i, step, kind)["out"])
+
+    return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) == 0, F.array().cast(f"array<{kind}>")).otherwise(place(hits)))
+
+
+def _spans(found: Column, kind: int) -> Column:
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), (x["start"] + F.length(x["hit"])).alias("end")).cast(SPAN))
 
 
 def _plog(c: Column) -> Column:
@@ -63,49 +75,57 @@ def _plog(c: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(WINDOW + 2)]), c + 1)
 
 
-def hot_region(codes: Column, bits: Column) -> Column:
-    """struct<first, last>: from the first to behind the last window of at least these bits; nulls without one.
+def hot_regions(codes: Column, bits: Column) -> Column:
+    """array<struct<first, last>>: the stretches of windows of at least these bits, last exclusive.
 
-    codes: the places in ALPHABET of a candidate's characters. An expression that stands for a value
-    of a lambda is computed anew wherever it is named, so all that is long is bound to a variable first.
+    codes: a bound variable, the codes of a string's characters less LOWEST.
     """
-    moves = F.transform(codes, lambda c, i: F.struct(c.alias("new"), F.when(i >= WINDOW, F.element_at(codes, F.greatest(i + 1 - WINDOW, F.lit(1)))).otherwise(F.lit(0)).alias("old"), (i + 1).alias("i")))
-    empty = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    kind = "array<struct<first:int,last:int>>"
+    at = lambda c: F.struct((c / PACKED).cast("int").alias("word"), (c % PACKED * BITS).alias("shift"), c.alias("c"))
+    moves = F.transform(codes, lambda c, i: F.struct(at(c).alias("new"), F.when(i >= WINDOW, at(F.get(codes, i - WINDOW))).alias("old"), (i + 1).alias("i")))
+    none = F.lit(None).cast("int")
+    empty = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-CODES // PACKED)).alias("n"), F.lit(0.0).alias("s"), none.alias("first"), none.alias("last"), F.array().cast(kind).alias("out"))
+    unit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p["shift"])
+    count = lambda n, p: F.call_function("shiftright", F.get(n, p["word"]), p["shift"]).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
     def step(acc: Column, m: Column) -> Column:
-        new, old = m["new"], m["old"]
-        plus = F.element_at(acc["n"], new)
-        minus = F.element_at(acc["n"], F.greatest(old, F.lit(1))) + F.when(old == new, 1).otherwise(0)
-        s = acc["s"] + _plog(plus + 1) - _plog(plus) + F.when(old > 0, _plog(F.greatest(minus - 1, F.lit(0))) - _plog(minus)).otherwise(0.0)
-        n = F.transform(acc["n"], lambda c, k: c + F.when(k + 1 == new, 1).otherwise(0) - F.when(k + 1 == old, 1).otherwise(0))
+        new, old, gone = m["new"], m["old"], m["old"].isNotNull()
+        plus = count(acc["n"], new)
+        minus = count(acc["n"], old) + F.when(old["c"] == new["c"], 1).otherwise(0)
+        s = acc["s"] + _plog(plus + 1) - _plog(plus) + F.when(gone, _plog(F.greatest(minus - 1, F.lit(0))) - _plog(minus)).otherwise(0.0)
+        moved = F.transform(acc["n"], lambda w, k: w + F.when(k == new["word"], unit(new)).otherwise(0) - F.when(gone & (k == old["word"]), unit(old)).otherwise(0))
         hot = (m["i"] >= WINDOW) & (F.lit(math.log2(WINDOW)) - s / WINDOW >= bits)
+        begin = m["i"] - WINDOW
+        apart = hot & (begin > acc["last"])
         return F.struct(
-            F.when(new == old, acc["n"]).otherwise(n).alias("n"),
+            F.when(gone & (old["c"] == new["c"]), acc["n"]).otherwise(moved).alias("n"),
             s.alias("s"),
-            F.when(acc["first"].isNull() & hot, m["i"] - WINDOW).otherwise(acc["first"]).alias("first"),
+            F.when(hot & F.coalesce(apart, F.lit(True)), begin).otherwise(acc["first"]).alias("first"),
             F.when(hot, m["i"]).otherwise(acc["last"]).alias("last"),
+            F.when(apart, F.concat(acc["out"], F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))).otherwise(acc["out"]).alias("out"),
         )
 
-    return F.aggregate(moves, empty, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    return F.aggregate(moves, empty, step, lambda acc: F.when(acc["last"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))))
 
 
-def _bits(candidate: Column) -> Column:
-    """The threshold of a candidate's character class; null if it is allowed or of letters or digits alone."""
-    allowed = candidate.rlike("|".join(f"(?:{a})" for a in ALLOW)) if ALLOW else F.lit(False)
-    return F.when(allowed | ~candidate.rlike("[0-9]") | ~candidate.rlike("[A-Za-z]"), F.lit(None)).when(candidate.rlike("^[0-9a-fA-F]+$"), HEX_BITS).otherwise(MIXED_BITS)
+def _strings(x: Column) -> Column:
+    """array<struct<start, word, bits>>: what is looked at in a candidate."""
+    whole = F.array(F.struct(x["start"].alias("start"), x["hit"].alias("word"), F.lit(MIXED_BITS).alias("bits")))
+    hexes = F.transform(_found(x["hit"], HEX_RUN), lambda h: F.struct((x["start"] + h["start"]).alias("start"), h["hit"].alias("word"), F.lit(HEX_BITS).alias("bits")))
+    some = F.when(x["hit"].rlike("^[0-9a-fA-F]+$"), hexes).otherwise(F.concat(whole, hexes))
+    return F.filter(some, lambda w: w["word"].rlike("[0-9]") & w["word"].rlike("[A-Za-z]"))
 
 
 def _entropy(text: Column) -> Column:
     """Spans of high entropy within candidates."""
-    candidates = _places(text, CANDIDATE, KINDS.index("entropy"), lambda hit: _bits(hit).isNotNull())
-    code = lambda word, i: F.instr(F.lit(ALPHABET), F.substring(word, i, F.lit(1)))
-    words = F.transform(candidates, lambda s: F.struct(s.alias("at"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("word")))
-    coded = F.transform(words, lambda w: F.struct(w["at"].alias("at"), _bits(w["word"]).alias("bits"), F.transform(F.sequence(F.lit(1), F.length(w["word"])), lambda i: code(w["word"], i)).alias("codes")))
-    regions = F.transform(coded, lambda w: F.struct(w["at"].alias("at"), hot_region(w["codes"], w["bits"]).alias("hot")))
-    hot = F.filter(regions, lambda r: r["hot"]["last"].isNotNull())
-    return F.transform(
-        hot, lambda r: F.struct((r["at"]["start"] + r["hot"]["first"]).alias("start"), r["at"]["kind"].alias("kind"), (r["at"]["start"] + r["hot"]["last"]).alias("end")).cast(SPAN)
+    allowed = lambda x: x["hit"].rlike("|".join(f"(?:{a})" for a in ALLOW)) if ALLOW else F.lit(False)
+    strings = F.flatten(F.transform(F.filter(_found(text, CANDIDATE), lambda x: ~allowed(x)), _strings))
+    codes = lambda w: F.transform(F.split(w["word"], "", -1), lambda c: F.ascii(c) - LOWEST)
+    regions = lambda w: F.transform(
+        bind(codes(w), lambda c: hot_regions(c, w["bits"])),
+        lambda r: F.struct((w["start"] + r["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (w["start"] + r["last"]).alias("end")).cast(SPAN),
     )
+    return F.array_distinct(F.flatten(F.transform(strings, regions)))
 
 
 def spans(text: Column) -> Column:
@@ -115,10 +135,10 @@ def spans(text: Column) -> Column:
     """
     t = F.coalesce(text, F.lit(""))
     found = F.concat(
-        _places(t, ASSIGN, 0, lambda h: F.length(F.regexp_extract(h, ASSIGN, 2)) >= ASSIGN_LEAST),
+        _spans(F.filter(_found(t, ASSIGN), lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= ASSIGN_LEAST), 0),
         # A run is taken whole, so asking for its least length in the pattern drops the same matches and skips short runs fast
-        _places(t, "AKIA[A-Z0-9]" + f"{{{ACCESS_LEAST - 4},}}", 1, lambda h: F.lit(True)),
-        _places(t, "(?<![0-9a-f])[0-9a-f]" + f"{{{HEX_LEAST},}}", 2, lambda h: F.lit(True)),
+        _spans(_found(t, "AKIA[A-Z0-9]" + f"{{{ACCESS_LEAST - 4},}}"), 1),
+        _spans(_found(t, "(?<![0-9a-f])[0-9a-f]" + f"{{{HEX_LEAST},}}"), 2),
         _entropy(t),
     )
     return F.array_sort(found)
@@ -144,14 +164,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     need(docs, "text")
     found = fresh(docs, "found")[0]
     text = F.col("text")
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        gap = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, gap).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate(F.col(found), begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    gap = lambda at, s: (F.greatest(at, s["end"]), F.struct(at.alias("start"), s["start"].alias("end")), s["start"] >= at)
+    marked = lambda r: F.concat(F.array_join(F.transform(cut(text, r["out"]), lambda x: F.concat(x, F.lit(mark))), ""), F.substring(text, r["at"] + 1, F.length(text)))
+    clean = bind(sweep(F.col(found), gap, "struct<start:int,end:int>"), marked)
     out = docs.withColumn(found, spans(text)).withColumn("text", F.when(F.size(found) > 0, clean).otherwise(text))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -79,13 +79,26 @@ def base_spans(t: str | None) -> list[tuple[str, int, int]]:
 
 def entropy_spans(t: str | None, window: int, hex_bits: float, mixed_bits: float, allow: tuple[str, ...]) -> list[tuple[int, int]]:
     """Every window counted anew."""
-    out = []
+    out = set()
     for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{window},}}", t or ""):
         s = m[0]
-        if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or any(re.search(a if not a.startswith("^(?i)") else "(?i)^" + a[5:], s) for a in allow):
+        if any(re.search(a if not a.startswith("^(?i)") else "(?i)^" + a[5:], s) for a in allow):
             continue
-        bits = hex_bits if re.fullmatch("[0-9a-fA-F]+", s) else mixed_bits
-        hot = [i for i in range(len(s) - window + 1) if -sum(c / window * math.log2(c / window) for c in Counter(s[i : i + window]).values()) >= bits - 1e-12]
-        if hot:
-            out.append((m.start() + hot[0], m.start() + hot[-1] + window))
-    return out
+        some = [(m.start() + h.start(), h[0], hex_bits) for h in re.finditer(rf"[0-9a-fA-F]{{{window},}}", s)]
+        if not re.fullmatch("[0-9a-fA-F]+", s):
+            some.append((m.start(), s, mixed_bits))
+        for at, w, bits in some:
+            if not re.search("[0-9]", w) or not re.search("[A-Za-z]", w):
+                continue
+            last = None
+            for i in range(len(w) - window + 1):
+                if -sum(c / window * math.log2(c / window) for c in Counter(w[i : i + window]).values()) >= bits - 1e-12:
+                    if last is not None and i <= last[1]:
+                        last[1] = i + window
+                    else:
+                        if last is not None:
+                            out.add((at + last[0], at + last[1]))
+                        last = [i, i + window]
+            if last is not None:
+                out.add((at + last[0], at + last[1]))
+    return sorted(out)

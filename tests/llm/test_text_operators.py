@@ -310,6 +310,26 @@ def test_redaction(spark):
     assert secrets.redact(t.limit(0)).count() == 0 and secrets.scan(t.limit(0)).count() == 0
 
 
+def test_a_long_text_of_many_secrets(spark):
+    """Over 1 MB: work must not grow with the product of length and matches."""
+    n = 50_000
+    text = "é ".join(f"token=a{i:06d}xyz" for i in range(n))
+    t = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = secrets.scan(t).first().spans
+    assert [(s.kind, s.start, s.end) for s in spans] == [(0, 18 * i, 18 * i + 16) for i in range(n)]
+    assert secrets.redact(t).first().text == "é ".join(["[SECRET]"] * n)
+
+
+def test_a_long_candidate_is_split_where_entropy_falls(spark):
+    r = random.Random(5)
+    hot = lambda: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    text = "0A" + hot() + "a" * 200 + hot() + " AccountKey=/" + "5F4DCC3B5AA765D61D8327DEB882CF99" + "/" + "b" * 300_000
+    t = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = [(s.start, s.end) for s in secrets.scan(t).first().spans if s.kind == 3]
+    assert spans == brute.entropy_spans(text[:1000], secrets.WINDOW, secrets.HEX_BITS, secrets.MIXED_BITS, secrets.ALLOW)
+    assert not any(a < 150 < b for a, b in spans) and len(spans) >= 3
+
+
 def test_secrets_plan_has_no_python(spark):
     plan = secrets.scan(docs(spark, EDGE))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
