@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import need
+from shardloom.llm.common import bind, cut, need, sweep
 
 OPEN, HEAD_END, PART, CLOSE = "### ", ":\n", "<part/>", "</turn>\n"
 LOSS_ROLE = "assistant"
@@ -50,7 +50,7 @@ def format_turns(rows: DataFrame) -> DataFrame:
 
     Turns are ordered by turn, then role, then text; a null turn comes first. Null roles and texts
     count as empty, repeated rows stay. One string holds a conversation, so one task holds it too; the
-    number of conversations is free. Rows without conv_id form one conversation. Other columns are left out.
+    number of conversations is free, and work grows with a conversation's length, not its square. Rows without conv_id form one conversation. Other columns are left out.
     """
     need(rows, "conv_id", "turn", "role", "text")
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -64,24 +64,18 @@ def format_turns(rows: DataFrame) -> DataFrame:
         F.transform(F.slice("t", i + 1, F.coalesce(F.get(F.col("at"), k + 1), n) - i), lambda x: escape(x["text"])).alias("texts"),
     )
     blocks = starts.select("conv_id", F.transform("at", block).alias("b"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def place(acc: Column, b: Column) -> Column:
-        first = acc["at"] + F.length(b["head"])
-        inner = F.aggregate(
-            b["texts"],
-            F.struct(first.alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-            lambda a, x: F.struct(
-                (a["at"] + F.length(x) + len(PART)).alias("at"),
-                F.when(b["loss"], F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(x)).alias("end"))))).otherwise(a["out"]).alias("out"),
-            ),
-        )
-        return F.transform(F.array(inner), lambda a: F.struct((a["at"] - len(PART) + len(CLOSE)).alias("at"), F.concat(acc["out"], a["out"]).alias("out")))[0]
+    # each text with what the template writes before it, in order
+    lead = lambda b, k, i: F.when(i > 0, F.lit(len(PART))).otherwise(F.length(b["head"]) + F.when(k > 0, F.lit(len(CLOSE))).otherwise(0))
+    items = F.flatten(F.transform("b", lambda b, k: F.transform(b["texts"], lambda x, i: F.struct(lead(b, k, i).alias("lead"), F.length(x).alias("n"), b["loss"].alias("loss")))))
+
+    def place(at: Column, x: Column):
+        start = at + x["lead"]
+        return start + x["n"], F.struct(start.alias("start"), (start + x["n"]).alias("end")), x["loss"]
 
     return blocks.select(
         "conv_id",
         F.array_join(F.transform("b", lambda b: F.concat(b["head"], F.array_join(b["texts"], PART), F.lit(CLOSE))), "").alias("formatted"),
-        F.aggregate("b", begin, place, lambda acc: acc["out"]).alias("loss_spans"),
+        bind(items, lambda i: sweep(i, place, "struct<start:int,end:int>")["out"]).alias("loss_spans"),
     )
 
 
@@ -101,7 +95,7 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, spans: Column) -> Column:
     """string: the unescaped text under the loss mask, in order, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    return F.array_join(F.transform(cut(formatted, spans), lambda x: unescape(x)), "")
 
 
 def digest(rows: DataFrame) -> DataFrame:

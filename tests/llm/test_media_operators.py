@@ -231,3 +231,13 @@ def test_chat_template_merges_and_escapes(spark):
 def test_chat_plan_has_no_python(spark):
     plan = chat.digest(chat.with_probe(spark.createDataFrame([(1, 0, "user", "a")], TURNS).repartition(1)))._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_a_conversation_of_many_turns(spark):
+    """Work must not grow with the square of the turns."""
+    n = 20_000
+    rows = [(1, i, "assistant" if i % 3 else "user", f"turn {i} ### é") for i in range(n)]
+    x = chat.digest(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    loss = "".join(t for _, _, r, t in rows if r == "assistant")
+    assert (x.n_turns, x.loss_chars, x.loss_sha256) == (n, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert x.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
