@@ -74,7 +74,7 @@ def sample(docs: DataFrame, seed: str = SEED, words: Column | None = None) -> Da
     """
     need(docs, "doc_id", "source", *(["text"] if words is None else []))
     doc_id, source = "doc_id", "source"
-    size, tie, rid, pid, first, before, mix = fresh(docs, "size", "tie", "rid", "pid", "first", "before", "mix")
+    size, tie, rid, pid, first, before, mix, part, name = fresh(docs, "size", "tie", "rid", "pid", "first", "before", "mix", "part", "name")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = [F.col(source).isNull(), F.col(source), F.col(size), F.col(tie), F.col(doc_id)]
     sized = docs.withColumn(size, n_words(F.col("text")) if words is None else words).withColumn(tie, F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
@@ -89,9 +89,9 @@ def sample(docs: DataFrame, seed: str = SEED, words: Column | None = None) -> Da
     runs = runs.withColumn(before, F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     goal = targets(runs, "s", "words").withColumnRenamed("source", "g").withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     runs = runs.join(goal, F.col("s").eqNullSafe(F.col("g"))).select(
-        F.col(pid).alias("_p"), F.col("s").alias("_s"), F.struct(F.col(before).alias("before"), F.col(first).alias("first"), "source_size", "target", "rate").alias(before)
+        F.col(pid).alias(part), F.col("s").alias(name), F.struct(F.col(before).alias("before"), F.col(first).alias("first"), "source_size", "target", "rate").alias(before)
     )
-    rows = rows.join(runs, (F.col(pid) == F.col("_p")) & F.col(source).eqNullSafe(F.col("_s")))
+    rows = rows.join(runs, (F.col(pid) == F.col(part)) & F.col(source).eqNullSafe(F.col(name)))
     r = F.col(before)
     rank = r.getField("before") + F.col(rid) - r.getField("first")
     u, rate = offset(F.col(source), seed), r.getField("rate")
