@@ -16,6 +16,8 @@ import hashlib
 import os
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote as escape_url
+from urllib.parse import unquote
 
 import pyarrow as pa
 import zstandard
@@ -45,13 +47,17 @@ def _urn(page_id) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
-def _line(text) -> str:
-    """A header's value: no line breaks, no control characters."""
-    return "".join(c if c >= " " else "%%%02X" % ord(c) for c in text or "")
+def _target(url: str | None) -> list[str]:
+    """The headers of a target: none for null; one with control characters or outer spaces is escaped as a whole, which a second header says."""
+    if url is None:
+        return []
+    if url == url.strip() and all(c >= " " and c not in "\x7f\x85\u2028\u2029" for c in url):
+        return [f"WARC-Target-URI: {url}"]
+    return [f"WARC-Target-URI: {escape_url(url, safe='')}", "X-Target-URI-Escaped: yes"]
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, first) -> bytes:
-    """One WARC record; first is the page_id that a revisit refers to, and the page's own one for a response."""
+    """One WARC record; first is the page_id that a revisit refers to; null or the page's own one for a response."""
     revisit = first is not None and first != page_id
     block = HTTP_HEAD if revisit else HTTP_HEAD + payload
     head = [
@@ -59,7 +65,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, first) -> byte
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {_urn(page_id)}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {_line(url)}",
+        *_target(url),
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
         *([f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_urn(first)}"] if revisit else []),
@@ -73,22 +79,22 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
-    """A dictionary of records: trained, or, if they are too few or too alike for that, made of records as they are."""
-    step = max(1, sum(map(len, records)) // TRAIN_BYTES)
+def dictionary(records: list[bytes], train_bytes: int = TRAIN_BYTES) -> zstandard.ZstdCompressionDict:
+    """A dictionary of records: trained, or, if they are too few or too alike for that, made of whole records as they are."""
+    step = max(1, sum(map(len, records)) // train_bytes)
     some = records[::step]
     if len(some) >= 16:
         try:
             return zstandard.train_dictionary(DICTIONARY_BYTES, some)
         except zstandard.ZstdError:
             pass
-    raw = b"".join(r[:4096] for r in some[:16])
-    return zstandard.ZstdCompressionDict(raw or b"WARC/1.1\r\n", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    raw = b"".join(r for r in some if len(r) <= DICTIONARY_BYTES)
+    return zstandard.ZstdCompressionDict(raw[-DICTIONARY_BYTES:] or b"WARC/1.1\r\n", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def write_archive(records: list[bytes]) -> bytes:
+def write_archive(records: list[bytes], train_bytes: int = TRAIN_BYTES) -> bytes:
     """The archive of some records."""
-    words = dictionary(records)
+    words = dictionary(records, train_bytes)
     raw = words.as_bytes()
     squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=True, write_checksum=True)
     return b"".join([struct.pack("<II", SKIPPABLE, len(raw)), raw, *map(squeeze.compress, records)])
@@ -126,24 +132,29 @@ def parse(rec: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block.partition(b"\r\n\r\n")[2]
 
 
-def write(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def write(pages: DataFrame, min_bytes: int = 0, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """Archives (archive string, content binary) of pages (page_id, url, html), written to the shared folder.
 
     Of pages with equal payloads of at least min_bytes the one with the smallest page_id is the
     response, the others are revisits of it; smaller payloads are all responses. A null html is an
-    empty payload, a null url an empty target. Rows that repeat page_id and payload are written as
-    often as they occur; pages without page_id are responses. Other columns are left out.
+    empty payload; a null url is read back as null. page_id is a whole number; other types raise ValueError.
+    A page without page_id is never referred to: it is a revisit where a page with page_id has its payload,
+    else a response, however many there are. Rows that repeat page_id and payload are written as
+    often as they occur. Other columns are left out, an empty table gives no archive. A payload may have up to 2 GB, as a text column's value.
+    train_bytes bounds the records that an archive's dictionary is built from; it changes sizes, not what is read.
 
     The smallest page_id of a payload is a grouped minimum over digests, not payloads. Payloads that
     occur once need no look-up; the others' pages are spread over SALTS parts of the digest, so that a
     payload of a third of all pages doesn't meet in one task.
     """
     need(pages, "page_id", "url", "html")
+    if pages.schema["page_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("page_id is a whole number")
     ship(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8"))).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8"))).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     large = F.octet_length("html") >= min_bytes
-    firsts = rows.where(large & F.col("page_id").isNotNull()).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = rows.where(large).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     firsts = firsts.select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     told = rows.join(firsts, ["sha", "salt"], "left").withColumn("first", F.when(large, F.col("first")))
 
@@ -152,7 +163,7 @@ def write(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         size = 0
 
         def out() -> pa.RecordBatch:
-            content = write_archive(held)
+            content = write_archive(held, train_bytes)
             return pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(content).hexdigest()[:24] + ".warc.zst"]), pa.array([content], pa.binary())], names=["archive", "content"])
 
         for batch in batches:
@@ -182,6 +193,10 @@ def read(archives: DataFrame) -> DataFrame:
         types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         number = lambda urn: int(x) if (x := urn.removeprefix("<urn:page:").removesuffix(">")) else None
 
+        def address(h: dict[str, str]) -> str | None:
+            url = h.get("warc-target-uri")
+            return unquote(url) if "x-target-uri-escaped" in h else url
+
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
@@ -195,7 +210,7 @@ def read(archives: DataFrame) -> DataFrame:
                     revisit = h["warc-type"] == "revisit"
                     if not revisit and (sha1_base32(payload), len(payload)) != said:
                         raise ValueError(f"record {h['warc-record-id']} is damaged")
-                    rows.append((number(h["warc-record-id"]), h["warc-target-uri"], said[1], said[0], h["warc-type"], number(h["warc-refers-to"]) if revisit else None, None if revisit else payload))
+                    rows.append((number(h["warc-record-id"]), address(h), said[1], said[0], h["warc-type"], number(h["warc-refers-to"]) if revisit else None, None if revisit else payload))
                     size += len(payload)
                     if size > 4 << 20 or len(rows) >= 2000:
                         yield out(rows)
@@ -208,7 +223,7 @@ def read(archives: DataFrame) -> DataFrame:
 
 
 def export_files(archives: DataFrame, folder: str) -> int:
-    """Write each archive as a file of a local folder, one at a time; how many there are."""
+    """Write each archive as a file of a folder of the driver's machine, one at a time; how many there are. An export: the archives themselves lie in the shared folder, as Parquet."""
     os.makedirs(folder, exist_ok=True)
     n = 0
     for row in archives.select("archive", "content").toLocalIterator():

@@ -100,6 +100,11 @@ def test_warc_least_bytes_nulls_repeats_and_empty(spark, tmp_path):
     archives = warc.write(spark.createDataFrame(rows, PAGES), min_bytes=5)
     out = Counter((x.page_id, x.record_type, x.refers_to) for x in warc.read(archives).collect())
     assert out == Counter([(5, "response", None), (3, "response", None), (4, "response", None), (4, "response", None), (9, "revisit", 4), (None, "revisit", 4)])
+    alone = [(None, None, "twice"), (None, "\r\n%0A é ", "twice"), (7, " padded ", "once"), (None, "", "once"), (8, "http://x/%0A?b=é", "x")]
+    out = Counter((x.page_id, x.url, x.record_type, x.refers_to) for x in warc.read(warc.write(spark.createDataFrame(alone, PAGES))).collect())
+    assert out == Counter([(None, None, "response", None), (None, "\r\n%0A é ", "response", None), (7, " padded ", "response", None), (None, "", "revisit", 7), (8, "http://x/%0A?b=é", "response", None)])
+    with pytest.raises(ValueError):
+        warc.write(spark.createDataFrame([("a", "u", "h")], "page_id string, url string, html string"))
     assert warc.export_files(archives, str(tmp_path / "w")) >= 1
     assert warc.read_files(spark, f"file://{tmp_path}/w").count() == 6
     assert warc.read(warc.write(spark.createDataFrame([], PAGES))).count() == 0
@@ -111,6 +116,8 @@ def test_archive_form():
     magic, size = struct.unpack_from("<II", data)
     assert magic == 0x184D2A5D and data[8 + size : 12 + size] == struct.pack("<I", 0xFD2FB528)
     assert list(warc.read_archive(data)) == records
+    few = [b"record %d " % i * 3 for i in range(4)]
+    assert list(warc.read_archive(warc.write_archive(few))) == few
     assert len(data) - size < sum(len(zstandard.compress(r)) for r in records) / 2
     with pytest.raises(ValueError):
         list(warc.read_archive(data[:-5]))
