@@ -3,11 +3,14 @@
 A rollup is a folder of commits. A commit holds the signed change of each (source, lang, tokenizer)
 total and the new state of each (doc_id, tokenizer) that it touched. A batch of changes is turned
 into signed rows: what a document counted before with a minus, what it counts now with a plus. Totals
-are the sums of all commits' changes, so a batch costs what it touches, not what there is.
+are the sums of all commits' changes: no document is counted again. To learn what a batch's documents counted
+before, it reads the states of all commits (a few narrow columns, no text), leaves out by a semi join what
+it doesn't touch, and groups the rest.
 
 A commit is written aside and renamed to its batch's name as the last step, so that it is there as a
 whole or not at all; a batch whose name is there already changes nothing, however often it is sent.
-One writer at a time is assumed: of two that apply the same batch one rename succeeds.
+The rename fails if the name is there, so of two writers of one batch one succeeds. Two different batches
+at the same time may each miss the other's states, so batches of one rollup must follow each other.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import uuid
 from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,11 +50,27 @@ class TokenRollup:
         names = self.commits()
         if not names:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/commits/{n}/{what}" for n in map(lambda n: quote(n, safe="-_."), names)])
-
-    def state(self) -> DataFrame:
-        """The last state of each (doc_id, tokenizer) that ever was: source, lang, n_tokens, alive."""
-        last = self._read("state", STATE).groupBy(*KEY).agg(F.max_by(F.struct("source", "lang", "n_tokens", "alive"), "commit").alias("s"))
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/commits/{n}/{what}" for n in names])
+
+    def _move(self, where: str, to: str) -> bool:
+        """Rename a folder to a name that isn't there; False if it is."""
+        jvm, conf = self._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        target = self._path(to)
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.getFileSystem(conf).getUri(), conf)
+        try:
+            files.rename(self._path(where), target, self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception.getClass().getName()):
+                raise
+            return False
+        return True
+
+    def state(self, touched: DataFrame | None = None) -> DataFrame:
+        """The last state of each (doc_id, tokenizer) that ever was: source, lang, n_tokens, alive; of touched ones only, if given."""
+        rows = self._read("state", STATE)
+        if touched is not None:
+            rows = rows.join(touched.select(*KEY), list(KEY), "left_semi")
+        last = rows.groupBy(*KEY).agg(F.max_by(F.struct("source", "lang", "n_tokens", "alive"), "commit").alias("s"))
         return last.select(*KEY, "s.*")
 
     def totals(self) -> DataFrame:
@@ -65,7 +85,8 @@ class TokenRollup:
         documents that count now; delete takes a document out, if it is in. Anything else raises when
         the batch is computed. Of several changes of one (doc_id, tokenizer) the one with the largest seq holds, of equal
         ones the largest by its values. Null n_tokens count as 0, null sources and languages are
-        groups of their own, rows without doc_id are left out. Other columns are left out.
+        groups of their own, rows without doc_id are left out. Other columns are left out. A batch may
+        have any name that doesn't begin with . or _. Texts aren't kept, so their length doesn't matter here.
         """
         need(changes, *KEY, "action", "source", "lang", "n_tokens", "seq")
         name = quote(batch, safe="-_.")
@@ -78,7 +99,7 @@ class TokenRollup:
         known = F.col("action").isin("insert", "revise", "delete")
         checked = changes.where("doc_id is not null").withColumn("action", F.when(known, F.col("action")).otherwise(F.raise_error(F.concat(F.lit("unknown action "), F.coalesce("action", F.lit("null"))))))
         new = checked.groupBy(*KEY).agg(F.max(change).alias("c"))
-        before = self.state()
+        before = self.state(new)
         both = new.join(before.select(*KEY, F.struct("source", "lang", "n_tokens", "alive").alias("b")), list(KEY), "left") if number else new.withColumn("b", F.lit(None).cast("struct<source:string,lang:string,n_tokens:bigint,alive:boolean>"))
         was = F.coalesce(F.col("b.alive"), F.lit(False))
         now = (F.col("c.action") == "insert") | ((F.col("c.action") == "revise") & was)
@@ -94,10 +115,10 @@ class TokenRollup:
 
         moved = signed(-1, "was", "b.").unionAll(signed(1, "alive", ""))
         moved.groupBy(*GROUP).agg(F.sum("d").alias("n_docs"), F.sum("t").alias("n_tokens")).write.parquet(f"{aside}/deltas")
-        done = self._fs.rename(self._path(aside), self._path(f"{self.root}/commits/{name}"))
+        done = self._move(aside, f"{self.root}/commits/{name}")
         if not done:
             self._fs.delete(self._path(aside), True)
-        return bool(done)
+        return done
 
 
 def changes(docs: DataFrame, action: str, counts: dict[str, Column], seq: int = 0) -> DataFrame:

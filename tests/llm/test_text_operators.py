@@ -269,6 +269,27 @@ def test_near_duplicates_at_the_edges(spark):
     assert jaccard.keep_one(docs(spark, [])).count() == 0
 
 
+def test_batches_with_odd_names_and_two_writers(spark, tmp_path):
+    row = lambda i, n: spark.createDataFrame([(i, "t", "insert", "s", "l", n, 0)], "doc_id long, tokenizer string, action string, source string, lang string, n_tokens long, seq int")
+    one, two = (tokencounts.TokenRollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    assert one.apply("day 1/a", row(1, 5)) and one.apply("[*] {x}", row(2, 7))
+    assert not two.apply("day 1/a", row(1, 9))
+    assert [tuple(x) for x in two.totals().collect()] == [("s", "l", "t", 2, 12)]
+    # a writer that looked before the other had committed
+    two.commits = lambda: one.commits()[:-1]
+    assert not two.apply("day 1/a", row(1, 9)) or not two.apply("[*] {x}", row(2, 8))
+    assert [tuple(x) for x in one.totals().collect()] == [("s", "l", "t", 2, 12)]
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    t = docs(spark, [(1, "a b", "x", "s"), (2, "c", "x", None)])
+    for name in ("_p", "_s", "part", "name", "before", "rid", "mix", "g", "n", "s", "words"):
+        t = t.withColumn(name, F.lit(name))
+    out = mixing.sample(t)
+    assert out.columns[:-1] == t.columns and out.columns[-1] == "_mix" and out.count() == 2
+    assert mixing.mixed(t).columns == t.columns
+
+
 # --- secrets
 
 
