@@ -6,7 +6,10 @@ neighbours in the sequence tend to be neighbours in space. The sequence is cut i
 bounding boxes in all axes. Pairs of intervals of the sequence are joined recursively: an interval
 pair whose boxes lie further apart than eps is skipped with all that it holds, others are halved
 down to blocks, and within two blocks down to LEAF vectors, where a matrix product gives the cosines
-in double precision.
+in double precision. The recursion over blocks runs on the executors, STRIP blocks against the sequence in a task;
+what every task knows of a block is its box in the BOX_AXES leading axes. A block holds at most BLOCK_BYTES,
+so a task's memory doesn't grow with the table; up to FEW_BLOCKS blocks, blocks grow instead of the number of
+copies that pairs of blocks need.
 
 Equal vectors are one point with a weight, so copies cost nothing. A pair of blocks returns, for
 each vector, the number of its links and the smallest id it is connected to there, never the links
@@ -19,6 +22,7 @@ distant blocks, and then every pair of blocks is compared.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,11 +34,13 @@ from shardloom.llm.common import arrow_limits, components, need, shared_table
 
 COSINE = 0.9
 GRID_AXES = 4
-#: Vectors of a block; more if there would be over MOST_BLOCKS blocks, whose boxes the driver holds.
-BLOCK_ROWS, MOST_BLOCKS = 4096, 2048
+#: Vectors of a block: at least BLOCK_ROWS, more if there would be over FEW_BLOCKS blocks, but never over BLOCK_BYTES as doubles.
+BLOCK_ROWS, FEW_BLOCKS, BLOCK_BYTES = 4096, 32, 16 << 20
+#: Blocks of a task of the recursion over blocks, and axes of their boxes (8 MB for a billion vectors of 64 dimensions).
+STRIP, BOX_AXES = 64, 16
 LEAF = 512
-#: Wider vectors are sorted by their own components, not turned: the axes would take dim * dim sums.
-TURN_DIMS = 512
+#: Of wider vectors only the leading axes are found, by TURNS steps of subspace iteration: all of them would take dim * dim sums.
+TURN_DIMS, TURNS = 512, 5
 ROW_BITS = 33
 
 
@@ -53,7 +59,7 @@ def _unit(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
 def _axes(points: DataFrame, dim: int) -> np.ndarray:
     """Principal axes of the unit vectors as columns, largest variance first; from sums over all of them."""
     if dim > TURN_DIMS:
-        return np.eye(dim)
+        return _leading(points, dim, min(dim, max(GRID_AXES, BOX_AXES)))
     at = np.triu_indices(dim + 1)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,6 +80,28 @@ def _axes(points: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh(m[1:, 1:] / m[0, 0] - np.outer(mean, mean))[1][:, ::-1]
 
 
+def _leading(points: DataFrame, dim: int, axes: int) -> np.ndarray:
+    """About the leading principal axes, orthonormal columns: a fixed start is multiplied by the covariance and made orthonormal again, a pass over the vectors each time."""
+    q = np.linalg.qr(np.random.default_rng(0).normal(size=(dim, axes)))[0]
+    for _ in range(TURNS):
+
+        def product(batches: Iterator[pa.RecordBatch], q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((dim + 1, axes + 1))
+            for b in batches:
+                x = np.column_stack([np.ones(b.num_rows), _unit(b.column(0), dim)])
+                total += x.T @ np.column_stack([np.ones(len(x)), x[:, 1:] @ q])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["k", "v"])
+
+        rows = points.select("vec").mapInArrow(product, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+        if not len(rows):
+            return q
+        m = np.zeros((dim + 1) * (axes + 1))
+        m[rows["k"]] = rows["v"]
+        m = m.reshape(dim + 1, axes + 1) / rows["v"][rows["k"] == 0].iloc[0]
+        q = np.linalg.qr(m[1:, 1:] - np.outer(m[1:, 0], m[0, 1:]))[0]
+    return q
+
+
 def _boxes(y: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(0, len(y), step)
     return np.minimum.reduceat(y, at), np.maximum.reduceat(y, at)
@@ -85,17 +113,17 @@ def apart(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray
     return float(np.sqrt((gap * gap).sum()))
 
 
-def interval_pairs(lo: np.ndarray, hi: np.ndarray, eps: float, lo_b: np.ndarray | None = None, hi_b: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+def interval_pairs(lo: np.ndarray, hi: np.ndarray, eps: float, lo_b: np.ndarray | None = None, hi_b: np.ndarray | None = None, strip: tuple[int, int] | None = None) -> Iterator[tuple[int, int]]:
     """Pairs (i, j) of boxes that can hold points within eps, by recursion over intervals of both sequences.
 
-    Without lo_b, the sequence is joined with itself and i <= j.
+    Without lo_b, the sequence is joined with itself and i <= j; with strip, only those of i from strip[0] to below strip[1].
     """
     own = lo_b is None
     lo_b, hi_b = (lo, hi) if own else (lo_b, hi_b)
     if not len(lo) or not len(lo_b):
         return
     eps = eps * (1 + 1e-9) + 1e-12  # what rounding may add
-    stack = [(0, len(lo), 0, len(lo_b))]
+    stack = [(*(strip or (0, len(lo))), 0, len(lo_b))]
     while stack:
         a, b, c, d = stack.pop()
         if own and a >= d:
@@ -165,29 +193,42 @@ def _join(points: DataFrame, dim: int, cosine: float) -> DataFrame:
     runs = runs.select("pid", F.coalesce(F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
     rows = ranged.withColumn("pid", F.shiftright("rid", ROW_BITS)).join(runs, "pid")
     rows = rows.withColumn("place", F.col("before") + F.col("rid").bitwiseAND(F.lit((1 << ROW_BITS) - 1)))
-    size = F.greatest(F.lit(BLOCK_ROWS), F.ceil(F.col("total") / MOST_BLOCKS))
+    most = max(LEAF, BLOCK_BYTES // (8 * dim))
+    size = F.least(F.lit(most), F.greatest(F.lit(BLOCK_ROWS), F.ceil(F.col("total") / FEW_BLOCKS)))
     rows = shared_table(rows.select("id", "weight", "vec", "place", F.floor(F.col("place") / size).cast("int").alias("block")), "blocks")
 
+    axes = min(dim, BOX_AXES)
+
     def box(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo: dict[int, np.ndarray] = {}
         hi: dict[int, np.ndarray] = {}
         for b in batches:
-            y, block = _unit(b.column(0), dim) @ turn.value, b.column(1).to_numpy()
+            y, block = _unit(b.column(0), dim) @ turn.value[:, :axes], b.column(1).to_numpy()
             for k in np.unique(block):
                 own = y[block == k]
                 lo[k] = np.minimum(lo.get(k, np.inf), own.min(0))
                 hi[k] = np.maximum(hi.get(k, -np.inf), own.max(0))
         for k in lo:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(dim, k, np.int32)), pa.array(np.arange(dim, dtype=np.int32)), pa.array(lo[k]), pa.array(hi[k])], names=["block", "k", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(axes, k, np.int32)), pa.array(np.arange(axes, dtype=np.int32)), pa.array(lo[k]), pa.array(hi[k])], names=["block", "k", "lo", "hi"])
 
     boxes = rows.select("vec", "block").mapInArrow(box, "block int, k int, lo double, hi double").groupBy("block", "k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas()
     blocks = int(boxes["block"].max()) + 1 if len(boxes) else 0
-    lo, hi = np.full((blocks, dim), np.inf), np.full((blocks, dim), -np.inf)
+    lo, hi = np.full((blocks, axes), np.inf), np.full((blocks, axes), -np.inf)
     lo[boxes["block"], boxes["k"]], hi[boxes["block"], boxes["k"]] = boxes["lo"], boxes["hi"]
-    pairs = [(i, j) for i, j in interval_pairs(lo, hi, eps)] or [(0, 0)]
-    # one row for each block and pair that it is in; MOST_BLOCKS bounds them
-    told = pd.DataFrame([(k, n, side) for n, (i, j) in enumerate(pairs) for side, k in enumerate(dict.fromkeys((i, j)))], columns=["block", "pair", "side"])
-    told = spark.createDataFrame(told, "block int, pair int, side int")
+    sent = spark.sparkContext.broadcast((lo, hi))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in b.column(0).to_pylist():
+                found = interval_pairs(*sent.value, eps, strip=(first * STRIP, min(blocks, (first + 1) * STRIP)))
+                while part := list(islice(found, 100_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*part, strict=True)], names=["i", "j"])
+
+    strips = -(-blocks // STRIP)
+    pairs = spark.range(0, strips, 1, max(1, strips)).mapInArrow(near, "i int, j int")
+    # a row for each block and pair of blocks that it is in
+    side = lambda c, n: F.struct(F.col(c).alias("block"), F.lit(n).alias("side"))
+    told = pairs.select("i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(side("i", 0))).otherwise(F.array(side("i", 0), side("j", 1)))).alias("e")).select("i", "j", "e.*")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "place"], ignore_index=True)
@@ -206,7 +247,7 @@ def _join(points: DataFrame, dim: int, cosine: float) -> DataFrame:
         hit = np.flatnonzero(links)
         return pd.DataFrame({"id": ids[hit], "n": np.rint(links[hit]).astype(np.int64), "least": least[hit]})
 
-    return rows.join(told, "block").groupBy("pair").applyInPandas(link, "id long, n long, least long")
+    return rows.join(told, "block").groupBy("i", "j").applyInPandas(link, "id long, n long, least long")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:

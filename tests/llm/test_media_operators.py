@@ -49,6 +49,18 @@ def test_ego_join_is_exact(spark, dim, monkeypatch):
     assert got == plain_links(rows)
 
 
+@pytest.mark.parametrize("turned", [512, 3])
+def test_ego_join_with_blocks_of_few_bytes(spark, monkeypatch, turned):
+    """Many blocks, several strips of them, boxes of fewer axes than the vectors have, copies of one vector."""
+    for name, value in {"BLOCK_ROWS": 4, "FEW_BLOCKS": 2, "BLOCK_BYTES": 8 * 6 * 10, "LEAF": 4, "STRIP": 3, "BOX_AXES": 2, "TURN_DIMS": turned}.items():
+        monkeypatch.setattr(egojoin, name, value)
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.normal(size=(120, 6)), np.repeat(r.normal(size=(3, 6)), 30, axis=0) + 0.05 * r.normal(size=(90, 6))])
+    rows = [(i, [float(c) for c in np.float32(v)], 0) for i, v in enumerate(x)] + [(500 + i, [float(c) for c in np.float32(x[0])], 1) for i in range(15)]
+    got = {t.vec_id: (t.n_links, t.component_id, t.kept) for t in egojoin.near_vectors(vectors(spark, rows)).collect()}
+    assert got == plain_links(rows)
+
+
 def test_ego_join_at_the_edges(spark):
     inf = float("inf")
     rows = [(1, None, 0), (2, [], 0), (3, [0.0, 0.0], 0), (4, [1.0, None], 0), (5, [1.0, inf], 0), (6, [float("nan"), 1.0], 0), (7, [1.0, 1.0], 0), (8, [2.0, 2.0], 1), (9, [1e-30, 1e-30], 2), (10, [1.0, 1.0], 3), (11, [-1.0, 1.0], 0), (12, [1.0, 1.0, 0.0], 0), (None, [1.0, 1.0], 0), (13, [3e38, 3e38], 0)]
