@@ -108,11 +108,13 @@ def arrow_limits(spark: SparkSession, rows: int = 1000, mb: int = 4) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all runs on one machine (tests)."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = sc._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="shardloom-")
         if not held.isDefined():
             atexit.register(shutil.rmtree, root, ignore_errors=True)
