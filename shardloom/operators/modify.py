@@ -34,6 +34,21 @@ def updated_rows(df: DataFrame, where: Column, changes: Mapping[str, Column]) ->
     return df.where(where).select(*[new.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
+def deleted_rows(df: DataFrame, where: Column) -> DataFrame:
+    """What DELETE … RETURNING * returns."""
+    return df.where(where)
+
+
+def inserted_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """What INSERT … RETURNING * returns: the new rows as they are stored, in the types and columns of df."""
+    return df.limit(0).unionByName(rows.select(*[F.col(c).cast(df.schema[c].dataType) for c in rows.columns]), allowMissingColumns=True)
+
+
+def merge_returning(df: DataFrame, source: DataFrame, key: str, source_key: str, clauses: list[When]) -> DataFrame:
+    """What MERGE … RETURNING merge_action(), * returns: the rows that were inserted, updated (as they are then) or deleted (as they were), with _action."""
+    return merge(df, source, key, source_key, clauses, delta=True).where(F.col("_action").isin("insert", "update", "delete"))
+
+
 def delete(df: DataFrame, where: Column) -> DataFrame:
     """DELETE FROM df WHERE …; rows for which the condition is null stay."""
     return df.where(~F.coalesce(where, F.lit(False)))
@@ -132,9 +147,11 @@ def store(df: DataFrame, root: str) -> str:
     out = fs.create(new, True)
     out.write(bytearray(path.encode()))
     out.close()
-    current = fs_path(f"{root}/CURRENT")
-    fs.delete(current, False)
-    fs.rename(new, current)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    files.rename(new, fs_path(f"{root}/CURRENT"), how)  # replaces the pointer in one step: there is always one
     return path
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +23,11 @@ def save_table(df: DataFrame, name: str, key: str | None = None, buckets: int =
     writer = df.write.option("compression", codec).option("path", shared_folder(spark, name.replace(".", "-")))
     if key is not None:
         writer = writer.bucketBy(buckets, key).sortBy(key)
+    new = f"{name}_{uuid.uuid4().hex}"
+    writer.saveAsTable(new)  # the old table is there until the new one is whole
     with _lock:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        writer.saveAsTable(name)
+        spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
 
 
 def distribute(df: DataFrame, name: str, key: str, buckets: int, colocate_with: str | None = None, codec: str = "zstd") -> None:
@@ -76,6 +79,11 @@ def shard_of(key: Column, shards: int) -> Column:
     return F.pmod(F.hash(key), F.lit(shards))
 
 
+def bucket_of_file(path: Column) -> Column:
+    """The bucket that a file of a distributed table holds, from its name."""
+    return F.regexp_extract(path, r"_([0-9]{5})\.c[0-9]+", 1).cast("int")
+
+
 def uniform_range_shard(token: Column, shards: int) -> Column:
     """The shard of a 32-bit token if the token space is cut into equal ranges; what is over belongs to the last."""
     width = (1 << 32) // shards

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from shardloom.catalog import table
 from shardloom.operators import aggregates as A
+from shardloom.operators import tdigest as T
 from shardloom.operators.tables import distribute, distributed
+from shardloom.sources.intermediate import shared_folder
 
 #: A table with nulls and repeats: key, val, valf.
-DATA = "(VALUES (1, 1, 2, 11.2), (2, 1, NULL, 2.1), (3, 2, 2, 3.22), (4, 2, 3, 4.23), (5, 2, 5, 5.25), (6, 3, 4, 63.4), (7, 5, NULL, 75.0), (8, 6, NULL, NULL), (9, 6, NULL, 96.5), (10, 7, 8, 1078.0), (11, 9, 0, 1.19)) t(id, k, val, valf)"
+#: Group 10 repeats a value, 20 mixes nulls and a negative, 30 is all null, 40 holds a lone zero, the null group one row.
+DATA = "(VALUES (101, 10, 6, 0.5), (102, 10, 6, 1.5), (103, 10, 1, 0.25), (104, 20, -4, NULL), (105, 20, NULL, 8.125), (106, 30, NULL, NULL), (107, 30, NULL, NULL), (108, 40, 0, 0.0), (109, NULL, 17, -2.75)) t(id, k, val, valf)"
 
 
 def register(r) -> None:
@@ -102,6 +105,35 @@ def register(r) -> None:
         exact = e.agg(A.rank_of(F.col("value"), 10.0).alias("ek"), F.percentile("value", [0.87, 0.93]).alias("eq"))
         return near.crossJoin(exact).select(((F.abs(F.col("k") - F.col("ek")) < 0.03) & F.col("q").between(F.col("eq")[0], F.col("eq")[1])).alias("close"))
 
+    stored = "SELECT event_type, count(value) AS n, true AS close FROM events GROUP BY event_type"
+
+    def digests(spark, sf_dir):
+        """Digests by hour and type, stored, read again and merged by type."""
+        e = table(spark, sf_dir, "events").withColumn("h", F.date_trunc("hour", "ts"))
+        path = shared_folder(spark, "digests")
+        T.tdigest(e, ["h", "event_type"], "value").write.parquet(path)
+        return e, T.merge(spark.read.parquet(path), ["event_type"], "digest")
+
+    @r.pair("tdigest_quantiles", stored)
+    def _quantiles(spark, sf_dir):
+        """An array of quantiles of merged digests: each lies between the exact ones two hundredths to either side."""
+        e, merged = digests(spark, sf_dir)
+        asked = [0.05, 0.25, 0.5, 0.9, 0.97]
+        near = merged.select("event_type", F.round(T.weight(F.col("digest"))).cast("long").alias("n"), T.percentile(F.col("digest"), F.array(*map(F.lit, asked))).alias("q"))
+        exact = e.groupBy(F.col("event_type").alias("k")).agg(F.percentile("value", [q - 0.02 for q in asked]).alias("lo"), F.percentile("value", [q + 0.02 for q in asked]).alias("hi"))
+        fits = F.forall(F.sequence(F.lit(0), F.lit(len(asked) - 1)), lambda i: F.get("q", i).between(F.get("lo", i), F.get("hi", i)))
+        return near.join(exact, F.col("event_type") == F.col("k")).select("event_type", "n", fits.alias("close"))
+
+    @r.pair("tdigest_ranks", stored)
+    def _ranks(spark, sf_dir):
+        """An array of ranks from merged digests, each within two hundredths of the exact share."""
+        e, merged = digests(spark, sf_dir)
+        asked = [1.0, 5.0, 10.0, 20.0]
+        near = merged.select("event_type", F.round(T.weight(F.col("digest"))).cast("long").alias("n"), T.percentile_of(F.col("digest"), F.array(*map(F.lit, asked))).alias("k"))
+        exact = e.groupBy(F.col("event_type").alias("t")).agg(F.array(*[A.rank_of(F.col("value"), x) for x in asked]).alias("x"))
+        fits = F.forall(F.zip_with("k", "x", lambda a, b: F.abs(a - b) < 0.02), lambda ok: ok)
+        return near.join(exact, F.col("event_type") == F.col("t")).select("event_type", "n", fits.alias("close"))
+
     @r.pair("approx_percentiles", within("flag"))
     def _percentile(spark, sf_dir):
         p, q = F.percentile_approx("l_extendedprice", [0.25, 0.5, 0.75], 10000), F.percentile("l_extendedprice", [0.24, 0.26, 0.49, 0.51, 0.74, 0.76])
@@ -124,13 +156,13 @@ def register(r) -> None:
         states = table(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice").mapInPandas(partial, "o_orderstatus string, s double, n long")
         return states.groupBy("o_orderstatus").agg(F.round(F.sqrt(F.sum("s") / F.sum("n")), 4).alias("rms"))
 
-    @r.pair("user_aggregate_ordered", "SELECT o_orderstatus, first(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders GROUP BY o_orderstatus")
+    @r.pair("user_aggregate_ordered", "SELECT o_custkey, first(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders GROUP BY o_custkey")
     def _gather(spark, sf_dir):
-        """An aggregate without a combine step: a grouped pandas function sees all rows of a group."""
+        """An aggregate without a combine step: a grouped pandas function sees all rows of a group, which must fit in one task; so the key is one of many values."""
 
         @F.pandas_udf("long")
         def top(price: pd.Series, key: pd.Series) -> int:
             best = price.max()
             return int(key[price == best].min())
 
-        return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(top("o_totalprice", "o_orderkey").alias("k"))
+        return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(top("o_totalprice", "o_orderkey").alias("k"))

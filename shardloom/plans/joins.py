@@ -24,7 +24,7 @@ def register(r) -> None:
     r.sql("join_or_condition", "SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey OR n_nationkey = r_regionkey")
     r.sql("join_null_keys", "SELECT a.x AS ax, b.x AS bx FROM (VALUES (1), (2), (NULL)) a(x) FULL JOIN (VALUES (2), (3), (NULL)) b(x) ON a.x = b.x")
     r.sql("join_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 450000", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_totalprice > 450000)")
-    r.sql("join_anti", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey)")
+    r.sql("join_anti", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_totalprice > 300000)")
     r.sql("join_lateral", "SELECT r_name, n_name FROM region LEFT JOIN LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey ORDER BY n_name DESC LIMIT 2) t ON true")
     r.sql("join_values", "SELECT n_nationkey, tag FROM nation JOIN (VALUES (1, 'one'), (2, 'two'), (30, 'none')) t(k, tag) ON n_nationkey = k")
     r.sql("join_function", "SELECT n_nationkey, g FROM nation JOIN (SELECT explode(sequence(20, 30)) AS g) t ON n_nationkey = g", "SELECT n_nationkey, CAST(g AS INT) AS g FROM nation JOIN generate_series(20, 30) t(g) ON n_nationkey = g")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shardloom.catalog import table
 from shardloom.operators import modify as M
+from shardloom.operators.tables import save_table
 from shardloom.sources.intermediate import shared_folder
 
 
@@ -88,18 +89,17 @@ def _statements(r, suffix: str, where: str, moved: str) -> None:
         M.store(M.delete(M.current(spark, root), F.col("o_orderstatus") == "O"), root)
         return M.current(spark, root).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
-    @r.pair(f"dml_modifying_cte{suffix}", f"SELECT o_orderstatus, count(*) AS n FROM {base} t WHERE o_custkey < 300 GROUP BY o_orderstatus")
+    @r.pair(f"dml_modifying_cte{suffix}", f"SELECT o_orderstatus, count(*) FILTER (WHERE o_custkey < 300) AS gone, count(*) FILTER (WHERE o_custkey >= 300) AS stayed FROM {base} t GROUP BY o_orderstatus")
     def _cte(spark, sf):
-        """WITH d AS (DELETE … RETURNING *) SELECT …: the rows that go, and a state without them."""
-        o = orders(spark, sf)
-        gone = o.where("o_custkey < 300")
-        M.store(M.delete(o, F.col("o_custkey") < 300), shared_folder(spark, "orders"))
-        return gone.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+        """WITH d AS (DELETE … RETURNING *) SELECT …: the rows that go, and what the stored state holds then."""
+        o, root, which = orders(spark, sf), shared_folder(spark, "orders"), F.col("o_custkey") < 300
+        M.store(M.delete(o, which), root)
+        rows = M.deleted_rows(o, which).select("o_orderstatus", F.lit(True).alias("d")).unionAll(M.current(spark, root).select("o_orderstatus", F.lit(False)))
+        return rows.groupBy("o_orderstatus").agg(F.count_if("d").alias("gone"), F.count_if(~F.col("d")).alias("stayed"))
 
 
 def register(r) -> None:
-    _statements(r, "", "o_orderkey < 3000", "o_orderkey BETWEEN 1000 AND 2500")
-    _statements(r, "_whole", "true", "true")
+    _statements(r, "", "true", "true")
 
     @r.pair("dml_insert_repartition", "SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey UNION ALL SELECT c_custkey, 0 FROM customer WHERE c_custkey < 0")
     def _insert_repartition(spark, sf):
@@ -109,4 +109,33 @@ def register(r) -> None:
         distribute(table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n")), "dml_counts", "k", 8)
         return distributed(spark, "dml_counts")
 
-    r.sql("dml_insert_values", "SELECT k, v FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) t(k, v)")
+    @r.pair("dml_insert_values", "SELECT k, v FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) t(k, v)")
+    def _values(spark, sf):
+        """Two INSERTs into a stored table, of one row and of several."""
+        save_table(spark.createDataFrame([], "k int, v string"), "dml_values")
+        spark.sql("INSERT INTO dml_values VALUES (1, 'a')")
+        spark.sql("INSERT INTO dml_values (k, v) VALUES (2, 'b'), (3, NULL)")
+        return spark.table("dml_values")
+
+    cols = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+    @r.pair("dml_delete_returning", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000")
+    def _delete_returning(spark, sf):
+        gone = M.deleted_rows(table(spark, sf, "orders"), (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 300000))
+        return gone.select(*cols)
+
+    @r.pair("dml_insert_returning", "SELECT o_orderkey + 1000000 AS o_orderkey, o_custkey, CAST(NULL AS DOUBLE) AS o_totalprice FROM orders WHERE o_custkey < 50")
+    def _insert_returning(spark, sf):
+        o = table(spark, sf, "orders").select(*cols)
+        return M.inserted_rows(o, o.where("o_custkey < 50").select((F.col("o_orderkey") + 1000000).alias("o_orderkey"), "o_custkey"))
+
+    @r.pair("dml_merge_returning", "SELECT coalesce(t.o_orderkey, n.k) AS o_orderkey, coalesce(t.o_custkey, n.c) AS o_custkey, CASE WHEN t.o_orderkey IS NULL THEN 0 WHEN t.o_totalprice > 300000 THEN t.o_totalprice ELSE t.o_totalprice + 1 END AS o_totalprice, CASE WHEN t.o_orderkey IS NULL THEN 'insert' WHEN t.o_totalprice > 300000 THEN 'delete' ELSE 'update' END AS action FROM (SELECT o_orderkey + 100 AS k, o_custkey AS c FROM orders) n LEFT JOIN orders t ON t.o_orderkey = n.k")
+    def _merge_returning(spark, sf):
+        o = table(spark, sf, "orders").select(*cols)
+        rows = o.select((F.col("o_orderkey") + 100).alias("k"), F.col("o_custkey").alias("c"))
+        clauses = [
+            M.When("matched", F.col("o_totalprice") > 300000, "delete"),
+            M.When("matched", None, "update", {"o_totalprice": F.col("o_totalprice") + 1}),
+            M.When("not matched", None, "insert", {"o_orderkey": F.col("excluded.k"), "o_custkey": F.col("excluded.c"), "o_totalprice": F.lit(0.0)}),
+        ]
+        return M.merge_returning(o, rows, "o_orderkey", "k", clauses).withColumnRenamed("_action", "action")

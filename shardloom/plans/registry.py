@@ -20,7 +20,7 @@ MODULES = ("tpch", "filters", "joins", "aggregates", "windows", "sorting", "subq
 
 
 def whole(text: str, cut: str) -> str:
-    """A query's text over its whole table: without cut, the condition by which it takes a slice of ids."""
+    """A query's text over its whole table: without cut, the condition that marks where a slice of ids could be taken."""
     if cut not in text:
         raise ValueError(f"{cut} isn't in {text}")
     return text.replace(cut, "true")
@@ -42,26 +42,20 @@ class Registry:
 
     def sql(self, name: str, text: str, oracle: str | None = None, cut: str | None = None) -> None:
         """A query in Spark SQL; oracle is given where DuckDB's spelling differs. cut: see whole."""
+        if cut is not None:
+            text, oracle = whole(text, cut), oracle and whole(oracle, cut)
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             register_views(spark, sf_dir, [t for t in TABLES if re.search(rf"\b{t}\b", text)])
             return spark.sql(text)
 
         self.add(name, run, oracle or text)
-        if cut is not None:
-            self.sql(f"{name}_whole", whole(text, cut), oracle and whole(oracle, cut))
 
     def pair(self, name: str, oracle: str, cut: str | None = None):
-        """Decorator: a DataFrame query with its oracle. With cut, it takes the condition as where, and is registered over the whole table too."""
+        """Decorator: a DataFrame query with its oracle. With cut, it takes a condition as where, and is registered over the whole table."""
         if cut is None:
             return lambda f: self.add(name, f, oracle) or f
-
-        def both(f):
-            self.add(name, partial(f, where=cut), oracle)
-            self.add(f"{name}_whole", partial(f, where="true"), whole(oracle, cut))
-            return f
-
-        return both
+        return lambda f: self.add(name, partial(f, where="true"), whole(oracle, cut)) or f
 
     def rows(self, name: str):
         """Decorator: a query that SQL can't express."""

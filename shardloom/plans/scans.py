@@ -21,7 +21,20 @@ def register(r) -> None:
     r.sql("scan_point", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 4321")
     r.sql("values_list", "SELECT x, y FROM (VALUES (1, 'a'), (2, 'b')) t(x, y)")
     r.sql("series", "SELECT explode(sequence(1, 20, 3)) AS g", "SELECT CAST(unnest(generate_series(1, 20, 3)) AS INT) AS g")
-    r.sql("ctas", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+    @r.pair("ctas", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+    def _ctas(spark, sf):
+        """CREATE TABLE … AS SELECT, and a scan of the stored table."""
+        save_table(table(spark, sf, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n")), "t_ctas")
+        return spark.table("t_ctas")
+
+    @r.pair("columnar_chunk_skipping", "SELECT true AS skipped, count(*) AS n FROM orders WHERE o_orderkey BETWEEN 100 AND 150")
+    def _skipping(spark, sf):
+        """Rows in key order in chunks of 1,000: the scan hands on one chunk of several."""
+        path = shared_folder(spark, "columnar")
+        C.write_columnar(table(spark, sf, "orders").select("o_orderkey", "o_custkey").repartitionByRange(1, "o_orderkey"), path, C.ColumnarOptions(stripe_rows=1000, chunk_rows=1000), order_by=["o_orderkey"])
+        hits = C.read_columnar(spark, path).where("o_orderkey BETWEEN 100 AND 150")
+        read, n = C.rows_read(hits)
+        return spark.createDataFrame([(read <= 1000 < C.row_count(spark, path).first()[0], n)], "skipped boolean, n long")
 
     @r.pair("columnar_write_read", "SELECT l_suppkey, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_orderkey BETWEEN 1000 AND 3000 GROUP BY l_suppkey")
     def _columnar(spark, sf):
@@ -49,9 +62,7 @@ def register(r) -> None:
     @r.pair("columnar_row_count", "SELECT count(*) AS n FROM lineitem")
     def _rows(spark, sf):
         """From the footers alone."""
-        path = shared_folder(spark, "columnar")
-        C.write_columnar(table(spark, sf, "lineitem").select("l_orderkey"), path)
-        return C.table_size(spark, path).select(F.col("rows").alias("n"))
+        return C.row_count(spark, f"{sf}/lineitem.parquet")
 
     @r.pair("columnar_added_column", "SELECT extra, count(*) AS n FROM (SELECT CASE WHEN o_orderkey < 100 THEN 7 ELSE o_custkey END AS extra FROM orders WHERE o_orderkey < 200) t GROUP BY extra")
     def _added(spark, sf):

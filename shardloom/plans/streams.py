@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from shardloom.catalog import table
@@ -64,7 +62,7 @@ def register(r) -> None:
         e, root = table(spark, sf, "events"), shared_folder(spark, "events")
         e.write.parquet(root)  # a stream reads folders
         stream = S.read_stream(spark, root, e.schema).withColumn("ts", F.col("ts").cast("timestamp"))
-        out = S.run_to_memory(S.tumbling(stream, "ts", "1 hour", "10 minutes", "event_type"), f"t{uuid.uuid4().hex}", "complete")
+        out = S.run_to_files(S.tumbling(stream, "ts", "1 hour", "10 minutes", "event_type"), shared_folder(spark, "tumbling"), "complete")
         return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
     @r.pair("window_sliding", "SELECT w AS start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM events) t GROUP BY w")
@@ -73,8 +71,11 @@ def register(r) -> None:
 
     @r.pair("stream_session", "SELECT user_id, n, count(*) AS sessions FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTES, true) AS gap FROM events) a) b GROUP BY user_id, s) c GROUP BY user_id, n")
     def _session(spark, sf):
-        e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-        return e.groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n")).groupBy("user_id", "n").agg(F.count("*").alias("sessions"))
+        e, root = table(spark, sf, "events"), shared_folder(spark, "events")
+        e.write.parquet(root)
+        stream = S.read_stream(spark, root, e.schema, 1000).withColumn("ts", F.col("ts").cast("timestamp"))
+        out = S.run_to_files(S.sessions(stream, "ts", "30 minutes", "10 minutes", "user_id"), shared_folder(spark, "sessions"), "complete")
+        return out.groupBy("user_id", "n").agg(F.count("*").alias("sessions"))
 
     @r.pair("stream_dedup", "SELECT count(DISTINCT event_id) AS n FROM events")
     def _dedup(spark, sf):
@@ -84,14 +85,14 @@ def register(r) -> None:
         e.write.parquet(f"{root}/e")
         e.write.mode("append").parquet(f"{root}/e")
         stream = S.read_stream(spark, f"{root}/e", e.schema, 1000).withColumn("ts", F.col("ts").cast("timestamp"))
-        out = S.run_to_memory(S.deduplicated(stream, "ts", "1 hour", "event_id"), f"d{uuid.uuid4().hex}", "append")
+        out = S.run_to_files(S.deduplicated(stream, "ts", "1 hour", "event_id"), shared_folder(spark, "dedup"), "append")
         return out.agg(F.count("*").alias("n"))
 
-    @r.pair("clock_order", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+    @r.pair("clock_order", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS INT) AS n FROM events")
     def _clock(spark, sf):
         """Causal order of each user's changes: epoch milliseconds, then a counter."""
-        e = table(spark, sf, "events").select("user_id", S.clock(F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id")).alias("seq"))
-        return S.in_order(e, "user_id").groupBy("user_id").agg(F.max("n").cast("long").alias("n"))
+        e = table(spark, sf, "events").select("user_id", "event_id", S.clock(F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id")).alias("seq"))
+        return S.in_order(e, "user_id").select("user_id", "event_id", "n")
 
     @r.pair("rollup_incremental", "SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n FROM events GROUP BY 1, 2")
     def _incremental(spark, sf):

@@ -13,7 +13,7 @@ from shardloom.sources.intermediate import shared_folder
 def register(r) -> None:
     r.sql("semi_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
     r.sql("semi_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')")
-    r.sql("anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+    r.sql("anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
     r.sql("anti_not_in", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
     r.sql("anti_not_in_null", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT x FROM (VALUES (1), (NULL)) t(x))")
     r.sql("corr_scalar", "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS top FROM customer WHERE c_custkey < 300", cut="c_custkey < 300")
@@ -35,10 +35,10 @@ def register(r) -> None:
         step = lambda new: new.select(((F.col("k") * 7 + 5) % 25).alias("k"))
         return recursive_union(spark.createDataFrame([(3,)], "k int"), step, shared_folder(spark, "recursive"))
 
-    @r.pair("quantified_all", "SELECT o_orderkey FROM orders WHERE o_totalprice > ALL (SELECT o_totalprice FROM orders WHERE o_custkey < 700)")
+    @r.pair("quantified_all", "SELECT o_orderkey FROM orders WHERE o_totalprice > ALL (SELECT o_totalprice FROM orders WHERE o_custkey < 3)")
     def _all(spark, sf_dir):
         o = table(spark, sf_dir, "orders")
-        return greater_than_all(o.select("o_orderkey", "o_totalprice"), "o_totalprice", o.where("o_custkey < 700").select(F.col("o_totalprice").alias("x")), "x").select("o_orderkey")
+        return greater_than_all(o.select("o_orderkey", "o_totalprice"), "o_totalprice", o.where("o_custkey < 3").select(F.col("o_totalprice").alias("x")), "x").select("o_orderkey")
 
     @r.pair("quantified_all_correlated", "SELECT o_orderkey FROM orders a WHERE o_custkey < 100 AND o_totalprice >= ALL (SELECT o_totalprice FROM orders b WHERE b.o_custkey = a.o_custkey)", cut="o_custkey < 100")
     def _all_correlated(spark, sf_dir, where):

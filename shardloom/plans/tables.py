@@ -78,12 +78,12 @@ def register(r) -> None:
         P.undistribute(spark, "t_d", "t_plain")
         return spark.table("t_plain").agg(F.count("*").alias("n"))
 
-    @r.pair("shard_lookup", "SELECT true AS same")
+    @r.pair("shard_lookup", "SELECT o_custkey, count(*) AS n, true AS found FROM orders GROUP BY o_custkey")
     def _lookup(spark, sf):
-        """The bucket of a key is where its rows lie."""
-        o = table(spark, sf, "orders")
-        n = o.where(P.shard_of(F.col("o_custkey"), 8) == P.shard_of(F.lit(11).cast("long"), 8)).where("o_custkey = 11").count()
-        return o.where("o_custkey = 11").agg((F.count("*") == n).alias("same"))
+        """All rows of a key lie in the stored file of the bucket that its hash gives."""
+        P.distribute(table(spark, sf, "orders").select("o_custkey"), "t_lookup", "o_custkey", 8)
+        rows = P.distributed(spark, "t_lookup").select("o_custkey", P.bucket_of_file(F.input_file_name()).alias("b"))
+        return rows.groupBy("o_custkey").agg(F.count("*").alias("n"), F.bool_and(F.col("b") == P.shard_of(F.col("o_custkey"), 8)).alias("found"))
 
     @r.pair("shard_ranges", "SELECT CAST(i AS INT) AS shard, i * 1073741824 - 2147483648 AS min_token, CASE WHEN i = 3 THEN 2147483647 ELSE (i + 1) * 1073741824 - 2147483649 END AS max_token FROM generate_series(0, 3) t(i)")
     def _ranges(spark, sf):

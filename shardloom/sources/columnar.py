@@ -47,6 +47,32 @@ def read_columnar(spark: SparkSession, path: str, defaults: dict | None = None,
     return df
 
 
+def row_count(spark: SparkSession, path: str) -> DataFrame:
+    """n: the rows of columnar files, from their footers alone: the count is pushed into the scan, which opens no column."""
+    v1 = "spark.sql.sources.useV1SourceList"
+    before = spark.conf.get(v1)
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    spark.conf.set(v1, ",".join(x for x in before.split(",") if x != "parquet"))
+    try:
+        return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+    finally:
+        spark.conf.set(v1, before)
+
+
+def rows_read(df: DataFrame) -> tuple[int, int]:
+    """How many rows the scan of df hands on after it skipped chunks by their statistics, and how many rows df has. Runs df."""
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        execution = df._jdf.queryExecution()
+        n = execution.toRdd().count()
+        leaves = execution.executedPlan().collectLeaves()
+        return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size())), n
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 _SCHEMA = "path string, stripe int, column string, rows long, bytes long, raw_bytes long, compression string, min string, max string, nulls long"
 
 

@@ -15,10 +15,12 @@ _roots: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; below a temporary one where that is unset (tests)."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share; below a temporary one where that is unset and all runs on one machine (tests)."""
     app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if app not in _roots:
             _roots[app] = tempfile.mkdtemp(prefix="shardloom-")
             atexit.register(shutil.rmtree, _roots[app], ignore_errors=True)

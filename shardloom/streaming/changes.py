@@ -39,11 +39,24 @@ def publish(change: DataFrame, shard_tables: dict[str, str]) -> DataFrame:
     return out.withColumn("table", F.coalesce(names[F.col("shard")], F.col("shard"))).drop("shard", "moved")
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over what is there now; its result as a table in memory (for tests)."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def run_to_files(df: DataFrame, root: str, mode: str) -> DataFrame:
+    """Run a stream over what is there now; its result as files below root, a folder that driver and executors share.
+
+    append adds to one table through the file sink, which keeps a log of its files, so that a batch sent again adds
+    nothing; complete writes each batch's whole result under its number, and the last one holds.
+    """
+    if mode == "append":
+        q = df.writeStream.outputMode(mode).format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return df.sparkSession.read.schema(df.schema).parquet(f"{root}/out")
+    last = []
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/{number}")
+        last[:] = [number]
+
+    df.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/out/{last[0]}") if last else df.sparkSession.createDataFrame([], df.schema)
 
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
