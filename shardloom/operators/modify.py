@@ -90,12 +90,13 @@ class When:
     changes: Mapping[str, Column] | None = None
 
 
-def merge(df: DataFrame, source: DataFrame, key: str, source_key: str, clauses: list[When], delta: bool = False) -> DataFrame:
+def merge(df: DataFrame, source: DataFrame, key: str, source_key: str, clauses: list[When], delta: bool = False, keyed: bool = False) -> DataFrame:
     """MERGE INTO df USING source ON key = source_key WHEN …: a full outer join on the key, and the first clause that holds.
 
     In conditions and changes, plain names are the target's columns and excluded.c the source's.
     A key of the target mustn't be changed. A source row that matches a target row which another source
     row has matched raises, as it must. With delta, the column _action tells what became of each row.
+    keyed says that no source key is null, as in distributed tables; then co-located tables are merged without an exchange.
     """
     for c in clauses:
         if c.kind == "matched" and c.action == "update" and key in (c.changes or {}):
@@ -105,7 +106,7 @@ def merge(df: DataFrame, source: DataFrame, key: str, source_key: str, clauses:
     twice = F.when(F.count("*") > 1, F.raise_error(F.lit("a row can't be modified twice by one MERGE")).cast("boolean")).otherwise(F.lit(True))
     one = source.where(F.col(source_key).isNotNull()).groupBy(source_key).agg(F.first(F.struct(*source.columns)).alias("excluded"), twice.alias("_once"))
     unkeyed = source.where(F.col(source_key).isNull()).select(F.lit(None).cast(source.schema[source_key].dataType).alias(source_key), F.struct(*source.columns).alias("excluded"), F.lit(True).alias("_once"))
-    side = one.unionByName(unkeyed).withColumnRenamed(source_key, "_source_key").withColumn("_s", F.lit(True))
+    side = (one if keyed else one.unionByName(unkeyed)).withColumnRenamed(source_key, "_source_key").withColumn("_s", F.lit(True))
     both = df.withColumn("_t", F.lit(True)).join(side, F.col(key) == F.col("_source_key"), "full_outer")
     t, s = F.col("_t").isNotNull(), F.col("_s").isNotNull()
     kinds = {"matched": t & s & F.coalesce(F.col("_once"), F.lit(True)), "not matched": ~t & s, "not matched by source": t & ~s}

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from shardloom.sources.intermediate import shared_folder
 
 _lock = threading.Lock()
+#: The table property that tells a reference table from a plain one.
+KIND = "shardloom.kind"
 
 
 def save_table(df: DataFrame, name: str, key: str | None = None, buckets: int = 0, codec: str = "zstd") -> None:
@@ -43,6 +45,12 @@ def distribute(df: DataFrame, name: str, key: str, buckets: int, colocate_with:
     save_table(checked.repartition(buckets, F.col(key)), name, key, buckets, codec)
 
 
+def create_reference_table(df: DataFrame, name: str) -> None:
+    """Store df as a reference table: plain files, marked as such in the catalog; joins send it to all executors if it is small enough."""
+    save_table(df, name)
+    df.sparkSession.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{KIND}' = 'reference')")
+
+
 def distributed(spark: SparkSession, name: str) -> DataFrame:
     """A distributed table, by name."""
     return spark.table(name)
@@ -168,7 +176,8 @@ def catalog_tables(spark: SparkSession, prefix: str = "") -> DataFrame:
                 key, n = bucket_spec(spark, t.name)
                 rows.append((t.name, "distributed", key, n))
             except ValueError:
-                rows.append((t.name, "plain", None, None))
+                told = spark.sql(f"SHOW TBLPROPERTIES {t.name}").where(F.col("key") == KIND).collect()
+                rows.append((t.name, told[0].value if told else "plain", None, None))
     return spark.createDataFrame(rows, "table_name string, kind string, distribution_column string, shard_count int")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shardloom.catalog import table
 from shardloom.operators import modify as M
-from shardloom.operators.tables import save_table
+from shardloom.operators.tables import distribute, save_table
 from shardloom.sources.intermediate import shared_folder
 
 
@@ -119,6 +119,15 @@ def register(r) -> None:
 
     cols = ["o_orderkey", "o_custkey", "o_totalprice"]
 
+    @r.pair("dml_merge_colocated", "SELECT t.o_orderkey, t.o_custkey, t.o_totalprice + CASE WHEN t.o_custkey % 2 = 0 THEN 1 ELSE 0 END AS o_totalprice FROM orders t")
+    def _merge_colocated(spark, sf):
+        """Both tables lie in buckets of the key: no row moves."""
+        o = table(spark, sf, "orders").select(*cols)
+        distribute(o, "merge_target", "o_orderkey", 8)
+        distribute(o.where("o_custkey % 2 = 0").select(F.col("o_orderkey").alias("k")), "merge_source", "k", 0, colocate_with="merge_target")
+        clauses = [M.When("matched", None, "update", {"o_totalprice": F.col("o_totalprice") + 1})]
+        return M.merge(spark.table("merge_target"), spark.table("merge_source"), "o_orderkey", "k", clauses, keyed=True)
+
     @r.pair("dml_delete_returning", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000")
     def _delete_returning(spark, sf):
         gone = M.deleted_rows(table(spark, sf, "orders"), (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 300000))

@@ -81,6 +81,25 @@ def register(r) -> None:
         C.set_access_method(spark, b, c, "columnar")
         return C.read_columnar(spark, c).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
+    @r.pair("intermediate_limit", "SELECT true AS refused, count(*) AS n FROM nation")
+    def _limit(spark, sf):
+        """A result over the limit is refused and leaves nothing; a smaller one is kept."""
+        n = I.create_intermediate_result("small", table(spark, sf, "nation"), 1 << 20)
+        try:
+            I.create_intermediate_result("large", table(spark, sf, "orders"), 1000)
+            refused = False
+        except ValueError:
+            refused = True
+        return spark.createDataFrame([(refused, n)], "refused boolean, n long")
+
+    @r.pair("copy_query", "SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY c_nationkey")
+    def _copy_query(spark, sf):
+        """COPY (query) TO, and back."""
+        path = shared_folder(spark, "csv")
+        rows = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+        copy_to(rows, path)
+        return copy_from(spark, path, rows.schema)
+
     @r.pair("copy_csv", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey < 200", cut="c_custkey < 200")
     def _csv(spark, sf, where):
         path = shared_folder(spark, "csv")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shardloom.catalog import table
 from shardloom.operators import tables as P
+from shardloom.operators.joins import reference_join
 
 
 def register(r) -> None:
@@ -65,6 +66,13 @@ def register(r) -> None:
         key, n = P.bucket_spec(spark, "t_orders")
         return P.distributed(spark, "t_orders").agg(F.count("*").alias("n")).select(F.lit(key).alias("k"), F.lit(n).alias("buckets"), "n")
 
+    @r.pair("reference_table", "SELECT 'reference' AS kind, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+    def _reference(spark, sf):
+        P.create_reference_table(table(spark, sf, "nation"), "ref_nation")
+        kind = P.catalog_tables(spark, "ref_nation").first().kind
+        n = reference_join(table(spark, sf, "customer"), spark.table("ref_nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        return n.groupBy("n_name").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n_name", "n")
+
     @r.pair("table_colocation", "SELECT true AS same, false AS other")
     def _colocation(spark, sf):
         P.distribute(table(spark, sf, "orders").select("o_custkey"), "t_a", "o_custkey", 4)

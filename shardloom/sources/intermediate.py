@@ -28,11 +28,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def create_intermediate_result(name: str, df: DataFrame) -> int:
-    """Write df under a name; the number of rows written."""
+def create_intermediate_result(name: str, df: DataFrame, most_bytes: int | None = None) -> int:
+    """Write df under a name; the number of rows written. A result of more than most_bytes, as files, is removed and raises ValueError."""
     spark = df.sparkSession
     path = shared_folder(spark, "result")
     df.write.parquet(path)
+    if most_bytes is not None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if (size := files.getContentSummary(where).getLength()) > most_bytes:
+            files.delete(where, True)
+            raise ValueError(f"the intermediate result {name} has {size} bytes, more than {most_bytes}")
     _places[spark.sparkContext.applicationId, name] = path
     return spark.read.parquet(path).count()
 
