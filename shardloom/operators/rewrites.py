@@ -40,6 +40,25 @@ def sum_excluding_current(value: Column, w: WindowSpec, preceding: int, followin
     return F.when(before.isNull(), after).when(after.isNull(), before).otherwise(before + after)
 
 
+def aggregate_excluding(name: str, value: Column, before: WindowSpec, after: WindowSpec, own: bool = False) -> Column:
+    """sum, count, min, max or avg of value over a frame with a gap: the frames before and after it, joined.
+
+    EXCLUDE CURRENT ROW takes frames of rows that leave the row out; EXCLUDE GROUP frames over group numbers
+    (groups_frame) that leave its group out; EXCLUDE TIES the same with own, by which the row itself counts again.
+    """
+    if name in ("min", "max"):
+        one, both = (F.min, F.least) if name == "min" else (F.max, F.greatest)
+        return both(one(value).over(before), one(value).over(after), *([value] if own else []))
+    n = F.count(value).over(before) + F.count(value).over(after) + (value.isNotNull().cast("long") if own else F.lit(0))
+    if name == "count":
+        return n
+    if name not in ("sum", "avg"):
+        raise ValueError("the aggregate is sum, count, min, max or avg")
+    zero = F.lit(0)
+    total = F.coalesce(F.sum(value).over(before), zero) + F.coalesce(F.sum(value).over(after), zero) + (F.coalesce(value, zero) if own else zero)
+    return F.when(n > 0, total if name == "sum" else total / n)
+
+
 def greater_than_all(df: DataFrame, value: str, others: DataFrame, other: str, on: Column | None = None) -> DataFrame:
     """Rows of df for which value > ALL (SELECT other FROM others [WHERE on]): a comparison that is null fails, an empty set passes.
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shardloom.catalog import TABLES, register_views
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("tpch", "filters", "joins", "aggregates", "windows", "sorting", "subqueries", "scalars", "modify", "scans", "streams", "tables", "types")
+MODULES = ("tpch", "filters", "joins", "aggregates", "windows", "sorting", "subqueries", "scalars", "modify", "scans", "streams", "tables", "types", "surfaces")
 
 
 def whole(text: str, cut: str) -> str:

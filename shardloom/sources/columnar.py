@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CODECS = ("none", "lz4", "zstd", "snappy", "gzip")
@@ -73,11 +73,33 @@ def rows_read(df: DataFrame) -> tuple[int, int]:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def rows_at(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame:
+    """The rows of these numbers, with row_number; rows are numbered from 0 by file name and place in the file.
+
+    One row for each file tells where its numbers begin; only files that hold a number asked for are opened.
+    A number beyond the last row gives no row.
+    """
+    place = F.col("_metadata.file_path").alias("_file")
+    files = spark.read.parquet(path).select(place).groupBy("_file").agg(F.count("*").alias("_rows"))
+    first = F.coalesce(F.sum("_rows").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = files.withColumn("_first", first)
+    asked = spark.createDataFrame([(int(n),) for n in sorted(set(numbers))], "row_number long")
+    hits = [tuple(h) for h in asked.join(starts, (F.col("row_number") >= F.col("_first")) & (F.col("row_number") < F.col("_first") + F.col("_rows"))).select("row_number", "_file", F.col("row_number") - F.col("_first")).collect()]
+    if not hits:
+        return spark.read.parquet(path).limit(0).withColumn("row_number", F.lit(None).cast("long"))
+    rows = spark.read.parquet(*sorted({h[1] for h in hits})).select("*", place, F.col("_metadata.row_index").alias("_index"))
+    wanted = spark.createDataFrame(hits, "row_number long, _file string, _index long")
+    return rows.join(F.broadcast(wanted), ["_file", "_index"]).drop("_file", "_index")
+
+
 _SCHEMA = "path string, stripe int, column string, rows long, bytes long, raw_bytes long, compression string, min string, max string, nulls long"
 
 
 def chunk_statistics(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each file, stripe and column: rows, sizes, codec, smallest and largest value. Footers are read where the files are."""
+    """One row for each file, stripe and column: rows, sizes, codec, smallest and largest value.
+
+    The reader hands each file on as a whole (up to 2 GB), of which only the footer is parsed; row_count opens footers alone.
+    """
 
     def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -66,3 +66,9 @@ def partition_query_result(df: DataFrame, key: str, bounds: list, path: str) ->
     part = sum(((F.coalesce(F.col(key) > b, F.lit(False))).cast("int") for b in sorted(bounds)), F.lit(0))
     df.withColumn("fragment", part).write.partitionBy("fragment").parquet(path)
     return df.sparkSession.read.parquet(path).groupBy("fragment").agg(F.count("*").alias("n"))
+
+
+def read_fragments(spark: SparkSession, path: str, bounds: list, least, most) -> DataFrame:
+    """The fragments of a partitioned result that can hold keys from least to most; the files of others aren't listed as input."""
+    of = lambda x: sum(x > b for b in bounds)
+    return spark.read.parquet(path).where(F.col("fragment").between(of(least), of(most))).drop("fragment")

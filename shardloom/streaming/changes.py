@@ -32,6 +32,17 @@ def apply_changes(state: DataFrame, change: DataFrame, key: str) -> DataFrame:
     return kept.unionByName(last.where(F.col(OP) != "delete").select(*state.columns))
 
 
+def changes_between(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """What turned a table's state old into new: op (insert, update, delete) and the row, as it is now or, deleted, as it was.
+
+    Keys are unique and not null. Rows that stayed as they were give nothing.
+    """
+    before, after = (t.select(F.col(key).alias("_key"), F.struct(*new.columns).alias(n)) for t, n in ((old, "_old"), (new, "_new")))
+    op = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").otherwise("update")
+    moved = before.join(after, "_key", "full_outer").where(~F.col("_old").eqNullSafe(F.col("_new")))
+    return moved.select(op.alias("op"), F.coalesce("_new", "_old").alias("_row")).select("op", "_row.*")
+
+
 def publish(change: DataFrame, shard_tables: dict[str, str]) -> DataFrame:
     """Changes of shards as changes of their tables: shard is replaced by table; changes that a shard move makes itself (moved) are left out."""
     names = F.create_map(*[F.lit(x) for pair in shard_tables.items() for x in pair])
