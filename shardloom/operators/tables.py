@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from shardloom.sources.intermediate import shared_folder
 _lock = threading.Lock()
 #: The table property that tells a reference table from a plain one.
 KIND = "shardloom.kind"
+#: The bucket in the name of a bucketed table's file.
+_BUCKET = re.compile(r"_([0-9]{5})\.c[0-9]+")
 
 
 def save_table(df: DataFrame, name: str, key: str | None = None, buckets: int = 0, codec: str = "zstd") -> None:
@@ -89,7 +93,7 @@ def shard_of(key: Column, shards: int) -> Column:
 
 def bucket_of_file(path: Column) -> Column:
     """The bucket that a file of a distributed table holds, from its name."""
-    return F.regexp_extract(path, r"_([0-9]{5})\.c[0-9]+", 1).cast("int")
+    return F.regexp_extract(path, _BUCKET.pattern, 1).cast("int")
 
 
 def uniform_range_shard(token: Column, shards: int) -> Column:
@@ -189,6 +193,31 @@ def catalog_shards(spark: SparkSession, name: str) -> DataFrame:
     return every.join(rows, "shard", "left").select("shard", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def run_command_on_shards(spark: SparkSession, name: str, command: str) -> DataFrame:
+    """shard and the columns of a query, in which %s stands for the shard, over each shard of a distributed table.
+
+    A shard is the files of its bucket, so a table is read once. Shards become temporary views named table_shard, which
+    catalog_tables doesn't list.
+    """
+    _, n = bucket_spec(spark, name)
+    files: dict[int, list[str]] = {i: [] for i in range(n)}
+    for f in spark.table(name).inputFiles():
+        files[int(_BUCKET.search(f).group(1))].append(f)
+    answers = []
+    for shard, paths in files.items():
+        rows = spark.read.schema(spark.table(name).schema).parquet(*paths) if paths else spark.table(name).limit(0)
+        rows.createOrReplaceTempView(f"{name}_{shard}")
+        answers.append(spark.sql(command.replace("%s", f"{name}_{shard}")).select(F.lit(shard).alias("shard"), "*"))
+    return reduce(DataFrame.unionAll, answers)
+
+
+def apply_moves(placement: DataFrame, moves: list[tuple[str, str, str]]) -> DataFrame:
+    """placement (shard, node, …) after the moves of rebalance_plan; a shard that isn't where a move takes it from raises."""
+    to = placement.sparkSession.createDataFrame(moves, "shard string, _from string, _to string")
+    there = F.when(F.col("_from") != F.col("node"), F.raise_error(F.lit("a move starts where the shard isn't"))).otherwise(F.coalesce("_to", "node"))
+    return placement.join(F.broadcast(to), "shard", "left").withColumn("node", there.cast("string")).drop("_from", "_to")
+
+
 def running_jobs(spark: SparkSession) -> list[int]:
     """Ids of the jobs that run now; cancel one group with spark.interruptTag or sparkContext.cancelJobGroup."""
     return list(spark.sparkContext.statusTracker().getActiveJobsIds())

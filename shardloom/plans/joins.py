@@ -10,7 +10,7 @@ from shardloom.operators.tables import distribute, distributed
 
 
 def register(r) -> None:
-    r.sql("join_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 2000", cut="o_orderkey < 2000")
+    r.sql("join_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
     r.sql("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
     r.sql("join_right", "SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey AND o_totalprice > 400000")
     r.sql("join_full", "SELECT a.n_nationkey AS a_key, b.n_nationkey AS b_key FROM (SELECT * FROM nation WHERE n_nationkey < 15) a FULL JOIN (SELECT * FROM nation WHERE n_nationkey > 8) b ON a.n_nationkey = b.n_nationkey")
@@ -58,9 +58,9 @@ def register(r) -> None:
         out = li.hint("shuffle_hash").join(p.where("p_size < 5"), F.col("p_partkey") == F.col("l_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
         return out.groupBy("l_partkey").agg(F.count("*").alias("n"))
 
-    @r.pair("join_range_repartition", "SELECT a.o_orderkey, b.o_custkey FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey < 3000", cut="a.o_orderkey < 3000")
-    def _ranged(spark, sf_dir, where):
-        o = table(spark, sf_dir, "orders").alias("a").where(where)
+    @r.pair("join_range_repartition", "SELECT a.o_orderkey, b.o_custkey FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey")
+    def _ranged(spark, sf_dir):
+        o = table(spark, sf_dir, "orders").alias("a")
         return o.select("o_orderkey").repartitionByRange("o_orderkey").join(o.select("o_orderkey", "o_custkey").repartitionByRange("o_orderkey"), "o_orderkey")
 
     @r.pair("join_range_bins", "SELECT event_id, lo FROM events JOIN (SELECT i * 7.5 AS lo, i * 7.5 + 5.0 AS hi FROM generate_series(0, 20) t(i)) b ON value >= lo AND value < hi")

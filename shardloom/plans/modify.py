@@ -10,53 +10,53 @@ from shardloom.operators.tables import distribute, save_table
 from shardloom.sources.intermediate import shared_folder
 
 
-def _statements(r, suffix: str, where: str, moved: str) -> None:
-    """The statements on orders where a condition holds; the new rows of upserts and merges are those where moved holds, under keys larger by 1500."""
+def _statements(r) -> None:
+    """The statements on orders; the new rows of upserts and merges are all orders under keys larger by 1500."""
     cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
-    orders = lambda spark, sf: table(spark, sf, "orders").where(where).select(*cols)
-    base = f"(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE {where})"
+    orders = lambda spark, sf: table(spark, sf, "orders").select(*cols)
+    base = "(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders)"
 
-    @r.pair(f"dml_update{suffix}", f"SELECT o_orderkey, o_custkey, CASE WHEN o_custkey < 100 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_custkey < 100 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM {base} t")
+    @r.pair("dml_update", f"SELECT o_orderkey, o_custkey, CASE WHEN o_custkey < 100 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_custkey < 100 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM {base} t")
     def _update(spark, sf):
         return M.update(orders(spark, sf), F.col("o_custkey") < 100, {"o_orderstatus": F.lit("X"), "o_totalprice": F.col("o_totalprice") + 1})
 
-    @r.pair(f"dml_update_returning{suffix}", f"SELECT o_orderkey, o_custkey, 'Y' AS o_orderstatus, o_totalprice FROM {base} t WHERE o_totalprice > 400000")
+    @r.pair("dml_update_returning", f"SELECT o_orderkey, o_custkey, 'Y' AS o_orderstatus, o_totalprice FROM {base} t WHERE o_totalprice > 400000")
     def _returning(spark, sf):
         return M.updated_rows(orders(spark, sf), F.col("o_totalprice") > 400000, {"o_orderstatus": F.lit("Y")})
 
-    @r.pair(f"dml_delete{suffix}", f"SELECT * FROM {base} t WHERE NOT (o_orderstatus = 'F')")
+    @r.pair("dml_delete", f"SELECT * FROM {base} t WHERE NOT (o_orderstatus = 'F')")
     def _delete(spark, sf):
         return M.delete(orders(spark, sf), F.col("o_orderstatus") == "F")
 
-    @r.pair(f"dml_delete_using{suffix}", f"SELECT * FROM {base} t WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+    @r.pair("dml_delete_using", f"SELECT * FROM {base} t WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
     def _using(spark, sf):
         return M.delete_using(orders(spark, sf), table(spark, sf, "customer").where("c_nationkey = 3"), F.col("o_custkey") == F.col("c_custkey"))
 
-    @r.pair(f"dml_update_from{suffix}", f"SELECT o_orderkey, o_custkey, coalesce(substring(c_mktsegment, 1, 3), o_orderstatus) AS o_orderstatus, o_totalprice FROM {base} t LEFT JOIN customer ON o_custkey = c_custkey AND c_nationkey = 5")
+    @r.pair("dml_update_from", f"SELECT o_orderkey, o_custkey, coalesce(substring(c_mktsegment, 1, 3), o_orderstatus) AS o_orderstatus, o_totalprice FROM {base} t LEFT JOIN customer ON o_custkey = c_custkey AND c_nationkey = 5")
     def _from(spark, sf):
         c = table(spark, sf, "customer").where("c_nationkey = 5").select("c_custkey", "c_mktsegment")
         return M.update_from(orders(spark, sf), c, "o_custkey", "c_custkey", {"o_orderstatus": F.substring("excluded.c_mktsegment", 1, 3)})
 
-    @r.pair(f"dml_insert_select{suffix}", f"SELECT * FROM {base} t UNION ALL SELECT o_orderkey + 1000000, o_custkey, NULL, NULL FROM {base} u WHERE o_custkey < 50")
+    @r.pair("dml_insert_select", f"SELECT * FROM {base} t UNION ALL SELECT o_orderkey + 1000000, o_custkey, NULL, NULL FROM {base} u WHERE o_custkey < 50")
     def _insert(spark, sf):
         o = orders(spark, sf)
         return M.insert(o, o.where("o_custkey < 50").select((F.col("o_orderkey") + 1000000).alias("o_orderkey"), "o_custkey"))
 
-    new = f"(SELECT o_orderkey + 1500 AS o_orderkey, o_custkey, 'N' AS o_orderstatus, o_totalprice FROM orders WHERE {moved})"
+    new = "(SELECT o_orderkey + 1500 AS o_orderkey, o_custkey, 'N' AS o_orderstatus, o_totalprice FROM orders)"
 
     def rows(spark, sf):
-        o = table(spark, sf, "orders").where(moved)
+        o = table(spark, sf, "orders")
         return o.select((F.col("o_orderkey") + 1500).alias("o_orderkey"), "o_custkey", F.lit("N").alias("o_orderstatus"), "o_totalprice")
 
-    @r.pair(f"dml_upsert{suffix}", f"SELECT coalesce(t.o_orderkey, n.o_orderkey) AS o_orderkey, coalesce(t.o_custkey, n.o_custkey) AS o_custkey, CASE WHEN t.o_orderkey IS NOT NULL AND n.o_orderkey IS NOT NULL THEN t.o_orderstatus || n.o_orderstatus ELSE coalesce(t.o_orderstatus, n.o_orderstatus) END AS o_orderstatus, coalesce(t.o_totalprice, n.o_totalprice) AS o_totalprice FROM {base} t FULL JOIN {new} n ON t.o_orderkey = n.o_orderkey")
+    @r.pair("dml_upsert", f"SELECT coalesce(t.o_orderkey, n.o_orderkey) AS o_orderkey, coalesce(t.o_custkey, n.o_custkey) AS o_custkey, CASE WHEN t.o_orderkey IS NOT NULL AND n.o_orderkey IS NOT NULL THEN t.o_orderstatus || n.o_orderstatus ELSE coalesce(t.o_orderstatus, n.o_orderstatus) END AS o_orderstatus, coalesce(t.o_totalprice, n.o_totalprice) AS o_totalprice FROM {base} t FULL JOIN {new} n ON t.o_orderkey = n.o_orderkey")
     def _upsert(spark, sf):
         return M.upsert(orders(spark, sf), rows(spark, sf), "o_orderkey", {"o_orderstatus": F.concat("o_orderstatus", "excluded.o_orderstatus")})
 
-    @r.pair(f"dml_insert_ignore{suffix}", f"SELECT * FROM {base} t UNION ALL SELECT * FROM {new} n WHERE n.o_orderkey NOT IN (SELECT o_orderkey FROM {base} b)")
+    @r.pair("dml_insert_ignore", f"SELECT * FROM {base} t UNION ALL SELECT * FROM {new} n WHERE n.o_orderkey NOT IN (SELECT o_orderkey FROM {base} b)")
     def _ignore(spark, sf):
         return M.upsert(orders(spark, sf), rows(spark, sf), "o_orderkey")
 
-    @r.pair(f"dml_merge{suffix}", f"SELECT coalesce(t.o_orderkey, n.o_orderkey) AS o_orderkey, coalesce(n.o_custkey, t.o_custkey) AS o_custkey, CASE WHEN t.o_orderkey IS NULL THEN 'new' ELSE t.o_orderstatus END AS o_orderstatus, CASE WHEN t.o_orderkey IS NOT NULL AND n.o_orderkey IS NOT NULL THEN n.o_totalprice ELSE coalesce(t.o_totalprice, 0) END AS o_totalprice FROM {base} t FULL JOIN {new} n ON t.o_orderkey = n.o_orderkey WHERE NOT (t.o_orderkey IS NOT NULL AND n.o_orderkey IS NOT NULL AND t.o_orderstatus = 'P')")
+    @r.pair("dml_merge", f"SELECT coalesce(t.o_orderkey, n.o_orderkey) AS o_orderkey, coalesce(n.o_custkey, t.o_custkey) AS o_custkey, CASE WHEN t.o_orderkey IS NULL THEN 'new' ELSE t.o_orderstatus END AS o_orderstatus, CASE WHEN t.o_orderkey IS NOT NULL AND n.o_orderkey IS NOT NULL THEN n.o_totalprice ELSE coalesce(t.o_totalprice, 0) END AS o_totalprice FROM {base} t FULL JOIN {new} n ON t.o_orderkey = n.o_orderkey WHERE NOT (t.o_orderkey IS NOT NULL AND n.o_orderkey IS NOT NULL AND t.o_orderstatus = 'P')")
     def _merge(spark, sf):
         x = lambda c: F.col(f"excluded.{c}")
         clauses = [
@@ -66,22 +66,22 @@ def _statements(r, suffix: str, where: str, moved: str) -> None:
         ]
         return M.merge(orders(spark, sf), rows(spark, sf), "o_orderkey", "o_orderkey", clauses)
 
-    @r.pair(f"dml_merge_not_matched_by_source{suffix}", f"SELECT t.o_orderkey, t.o_custkey, CASE WHEN n.o_orderkey IS NULL THEN 'gone' ELSE t.o_orderstatus END AS o_orderstatus, t.o_totalprice FROM {base} t LEFT JOIN {new} n ON t.o_orderkey = n.o_orderkey WHERE NOT (n.o_orderkey IS NULL AND t.o_totalprice < 100000)")
+    @r.pair("dml_merge_not_matched_by_source", f"SELECT t.o_orderkey, t.o_custkey, CASE WHEN n.o_orderkey IS NULL THEN 'gone' ELSE t.o_orderstatus END AS o_orderstatus, t.o_totalprice FROM {base} t LEFT JOIN {new} n ON t.o_orderkey = n.o_orderkey WHERE NOT (n.o_orderkey IS NULL AND t.o_totalprice < 100000)")
     def _by_source(spark, sf):
         clauses = [M.When("not matched by source", F.col("o_totalprice") < 100000, "delete"), M.When("not matched by source", None, "update", {"o_orderstatus": F.lit("gone")})]
         return M.merge(orders(spark, sf), rows(spark, sf), "o_orderkey", "o_orderkey", clauses)
 
-    @r.pair(f"dml_merge_actions{suffix}", f"SELECT action, count(*) AS n FROM (SELECT CASE WHEN t.o_orderkey IS NULL THEN 'insert' WHEN n.o_orderkey IS NULL THEN 'keep' ELSE 'update' END AS action FROM {base} t FULL JOIN {new} n ON t.o_orderkey = n.o_orderkey) x GROUP BY action")
+    @r.pair("dml_merge_actions", f"SELECT action, count(*) AS n FROM (SELECT CASE WHEN t.o_orderkey IS NULL THEN 'insert' WHEN n.o_orderkey IS NULL THEN 'keep' ELSE 'update' END AS action FROM {base} t FULL JOIN {new} n ON t.o_orderkey = n.o_orderkey) x GROUP BY action")
     def _actions(spark, sf):
         x = lambda c: F.col(f"excluded.{c}")
         clauses = [M.When("matched", None, "update", {"o_totalprice": x("o_totalprice")}), M.When("not matched", None, "insert", {c: x(c) for c in cols})]
         return M.merge(orders(spark, sf), rows(spark, sf), "o_orderkey", "o_orderkey", clauses, delta=True).groupBy(F.col("_action").alias("action")).agg(F.count("*").alias("n"))
 
-    @r.pair(f"dml_truncate{suffix}", f"SELECT * FROM {base} t WHERE false")
+    @r.pair("dml_truncate", f"SELECT * FROM {base} t WHERE false")
     def _truncate(spark, sf):
         return M.truncate(orders(spark, sf))
 
-    @r.pair(f"dml_store_current{suffix}", f"SELECT o_orderstatus, count(*) AS n FROM {base} t WHERE o_orderstatus <> 'O' GROUP BY o_orderstatus")
+    @r.pair("dml_store_current", f"SELECT o_orderstatus, count(*) AS n FROM {base} t WHERE o_orderstatus <> 'O' GROUP BY o_orderstatus")
     def _store(spark, sf):
         """Two states are stored; the name leads to the second."""
         root = shared_folder(spark, "orders")
@@ -89,7 +89,7 @@ def _statements(r, suffix: str, where: str, moved: str) -> None:
         M.store(M.delete(M.current(spark, root), F.col("o_orderstatus") == "O"), root)
         return M.current(spark, root).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
-    @r.pair(f"dml_modifying_cte{suffix}", f"SELECT o_orderstatus, count(*) FILTER (WHERE o_custkey < 300) AS gone, count(*) FILTER (WHERE o_custkey >= 300) AS stayed FROM {base} t GROUP BY o_orderstatus")
+    @r.pair("dml_modifying_cte", f"SELECT o_orderstatus, count(*) FILTER (WHERE o_custkey < 300) AS gone, count(*) FILTER (WHERE o_custkey >= 300) AS stayed FROM {base} t GROUP BY o_orderstatus")
     def _cte(spark, sf):
         """WITH d AS (DELETE … RETURNING *) SELECT …: the rows that go, and what the stored state holds then."""
         o, root, which = orders(spark, sf), shared_folder(spark, "orders"), F.col("o_custkey") < 300
@@ -99,7 +99,7 @@ def _statements(r, suffix: str, where: str, moved: str) -> None:
 
 
 def register(r) -> None:
-    _statements(r, "", "true", "true")
+    _statements(r)
 
     @r.pair("dml_insert_repartition", "SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey UNION ALL SELECT c_custkey, 0 FROM customer WHERE c_custkey < 0")
     def _insert_repartition(spark, sf):

@@ -55,10 +55,29 @@ def register(r) -> None:
 
         return table(spark, sf, "orders").select("o_custkey", "o_totalprice").groupBy("o_custkey").applyInPandas(per_key, "o_custkey long, n long")
 
-    @r.pair("run_on_shards", "SELECT CAST(sum(n) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM orders) t")
+    @r.pair("run_on_shards", "SELECT o_orderstatus, count(*) AS n, round(max(o_totalprice), 2) AS most FROM orders GROUP BY o_orderstatus")
     def _shards(spark, sf):
-        """A command for each partition, and its answers."""
-        return table(spark, sf, "orders").select("o_orderkey").mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n long").agg(F.sum("n").alias("n"))
+        """A command for each shard, and its answers, combined."""
+        P.distribute(table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_totalprice"), "t_command", "o_custkey", 4)
+        told = P.run_command_on_shards(spark, "t_command", "SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS most FROM %s GROUP BY o_orderstatus")
+        return told.groupBy("o_orderstatus").agg(F.sum("n").alias("n"), F.round(F.max("most"), 2).alias("most"))
+
+    @r.pair("shard_hiding", "SELECT 't_hidden' AS table_name, CAST(3 AS BIGINT) AS shards, count(*) AS n FROM customer")
+    def _hiding(spark, sf):
+        """Shards can be asked for by name; the catalog lists their table alone."""
+        P.distribute(table(spark, sf, "customer").select("c_custkey"), "t_hidden", "c_custkey", 3)
+        told = P.run_command_on_shards(spark, "t_hidden", "SELECT count(*) AS n FROM %s").agg(F.count("*").alias("shards"), F.sum("n").alias("n"))
+        return P.catalog_tables(spark, "t_hidden").select("table_name").crossJoin(told)
+
+    @r.pair("rebalance_shards", "SELECT true AS moved, true AS even, count(*) AS n FROM orders")
+    def _shards_moved(spark, sf):
+        """All shards of a stored table lie on one of three nodes; after the moves no node holds over its share and one shard."""
+        P.distribute(table(spark, sf, "orders").select("o_custkey"), "t_balance", "o_custkey", 12)
+        shards = P.catalog_shards(spark, "t_balance").select(F.col("shard").cast("string").alias("shard"), F.lit("a").alias("node"), "n")
+        sizes = [(s.shard, s.node, float(s.n)) for s in shards.collect()]  # a row for each shard
+        moves = P.rebalance_plan(sizes, ["a", "b", "c"])
+        nodes = P.apply_moves(shards, moves).groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("largest"))
+        return nodes.agg(F.lit(len(moves) > 0).alias("moved"), ((F.count("*") == 3) & (F.max("n") <= F.sum("n") / 3 + F.max("largest"))).alias("even"), F.sum("n").alias("n"))
 
     @r.pair("table_distribute", "SELECT 'o_custkey' AS k, 4 AS buckets, count(*) AS n FROM orders")
     def _distribute(spark, sf):
