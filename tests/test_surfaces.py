@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shardloom.operators import tables as P
 from shardloom.operators.rewrites import aggregate_excluding
 from shardloom.operators.statistics import explain, fingerprint, is_volatile
 from shardloom.sources import columnar as C
@@ -58,3 +59,13 @@ def test_fingerprints_and_plans(spark):
     assert "HashAggregate rows=3" in plan
     with pytest.raises(ValueError):
         explain(df, "yaml")
+
+
+def test_commands_see_empty_shards_and_moves_start_where_shards_are(spark):
+    P.distribute(spark.range(1).withColumnRenamed("id", "k"), "t_few", "k", 4)
+    told = P.run_command_on_shards(spark, "t_few", "SELECT count(*) AS n FROM %s")
+    assert sorted(r.n for r in told.collect()) == [0, 0, 0, 1]
+    placed = spark.createDataFrame([("0", "a"), ("1", "b")], "shard string, node string")
+    assert sorted(map(tuple, P.apply_moves(placed, [("0", "a", "b")]).select("shard", "node").collect())) == [("0", "b"), ("1", "b")]
+    with pytest.raises(Exception, match="where the shard isn't"):
+        P.apply_moves(placed, [("1", "a", "b")]).collect()
