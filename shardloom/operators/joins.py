@@ -31,6 +31,22 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     return points.withColumn(b, F.floor(F.col(at) / width)).join(spread, b).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop(b)
 
 
+def overlap_join(a: DataFrame, b: DataFrame, a_range: tuple[str, str], b_range: tuple[str, str], width: float) -> DataFrame:
+    """Pairs of rows whose ranges [low, high) share a value, by equal bins of a width; the frames have no column name in common.
+
+    A range is listed in every bin that it touches. A pair is found in the bin of its larger low alone, which both
+    touch, so it comes once. Choose width near the usual length of a range. Empty ranges and nulls don't join.
+    """
+    x, y = "_bin_a", "_bin_b"
+
+    def spread(df: DataFrame, low: str, high: str, bin_: str) -> DataFrame:
+        return df.where(F.col(low) < F.col(high)).withColumn(bin_, F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+
+    meet = (F.col(a_range[0]) < F.col(b_range[1])) & (F.col(b_range[0]) < F.col(a_range[1]))
+    once = F.col(x) == F.floor(F.greatest(a_range[0], b_range[0]) / width)
+    return spread(a, *a_range, x).join(spread(b, *b_range, y), F.col(x) == F.col(y)).where(meet & once).drop(x, y)
+
+
 def salted_join(large: DataFrame, small: DataFrame, key: str, salts: int = 16, row_key: Column | None = None) -> DataFrame:
     """Inner join on key where some keys of large are hot: their rows are spread over salts, rows of small are repeated for each."""
     s = "_salt"

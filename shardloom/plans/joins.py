@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shardloom.catalog import table
-from shardloom.operators.joins import range_join, reference_join, salted_join
+from shardloom.operators.joins import overlap_join, range_join, reference_join, salted_join
 from shardloom.operators.tables import distribute, distributed
 
 
@@ -68,6 +68,12 @@ def register(r) -> None:
         bands = spark.range(21).select((F.col("id") * F.lit(7.5)).alias("lo"), (F.col("id") * F.lit(7.5) + 5.0).alias("hi"))
         return range_join(table(spark, sf_dir, "events"), bands, "value", "lo", "hi", 5.0).select("event_id", "lo")
 
+    @r.pair("join_range_overlap", "SELECT a.s_suppkey AS a_key, b.s_suppkey AS b_key FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_acctbal < b.s_acctbal + 5.0 AND b.s_acctbal < a.s_acctbal + 5.0")
+    def _overlap(spark, sf_dir):
+        """Ranges of balances that overlap, without comparing every pair."""
+        side = lambda p: table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(f"{p}_key"), F.col("s_acctbal").alias(f"{p}_lo"), (F.col("s_acctbal") + 5.0).alias(f"{p}_hi"))
+        return overlap_join(side("a"), side("b"), ("a_lo", "a_hi"), ("b_lo", "b_hi"), 5.0).where("a_key < b_key").select("a_key", "b_key")
+
     @r.pair("join_salted", "SELECT event_type, count(*) AS n, CAST(sum(w) AS BIGINT) AS w FROM events JOIN (VALUES ('click', 1), ('view', 2), ('error', 3)) t(e, w) ON event_type = e GROUP BY event_type")
     def _salted(spark, sf_dir):
         weights = spark.createDataFrame([("click", 1), ("view", 2), ("error", 3)], "event_type string, w long")

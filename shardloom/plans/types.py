@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shardloom.catalog import table
 from shardloom.functions import ranges as R
 from shardloom.operators import tables as P
+from shardloom.operators.numbering import number_rows
 from shardloom.sources import columnar as C
 from shardloom.sources import intermediate as I
 from shardloom.sources import timeparts as T
@@ -26,10 +27,14 @@ def register(r) -> None:
     r.sql("type_uuid", "SELECT x, x = lower('550E8400-E29B-41D4-A716-446655440000') AS same FROM (VALUES ('550e8400-e29b-41d4-a716-446655440000')) t(x)")
     r.sql("type_boolean", "SELECT a, b, a AND b AS x, a OR b AS y, NOT a AS z FROM (VALUES (true, false), (true, CAST(NULL AS BOOLEAN)), (false, CAST(NULL AS BOOLEAN))) t(a, b)")
     r.sql("type_interval", "SELECT CAST(extract(DAY FROM (TIMESTAMP_NTZ '2024-03-05 00:00:00' - TIMESTAMP_NTZ '2024-02-28 00:00:00')) AS BIGINT) AS days, DATE '2024-01-31' + INTERVAL 1 MONTH AS m", "SELECT date_diff('day', TIMESTAMP '2024-02-28 00:00:00', TIMESTAMP '2024-03-05 00:00:00') AS days, CAST(DATE '2024-01-31' + INTERVAL 1 MONTH AS DATE) AS m")
-    r.sql("identity_column", "SELECT row_number() OVER (ORDER BY n_name) AS id, n_name FROM nation")
-    r.sql("generated_column", "SELECT o_orderkey, o_totalprice, round(o_totalprice * 0.5, 3) AS half FROM orders WHERE o_orderkey < 100")
+    r.sql("generated_column", "SELECT o_orderkey, o_totalprice, round(o_totalprice * 0.5, 3) AS half FROM orders")
     r.sql("select_for_update", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (1, 2, 3)")
 
+    @r.pair("identity_column", "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS id, o_orderkey FROM orders")
+    def _identity(spark, sf):
+        """Numbers without a global window."""
+        return number_rows(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("id", "o_orderkey")
+
     @r.pair("type_enum_order", "SELECT o_orderkey, o_orderstatus, CAST(list_position(['P', 'O', 'F'], o_orderstatus) AS BIGINT) AS k FROM orders ORDER BY k, o_orderkey LIMIT 30")
     def _enum(spark, sf):
         """Labels in order of their declaration."""

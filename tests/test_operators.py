@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from shardloom.operators import modify as M
 from shardloom.operators import tables as P
 from shardloom.operators.aggregates import array_agg, json_object_agg
-from shardloom.operators.joins import range_join, reference_join, salted_join
+from shardloom.operators.joins import overlap_join, range_join, reference_join, salted_join
+from shardloom.operators.numbering import number_rows
 from shardloom.operators.rewrites import distinct_on, greater_than_all, recursive_union, with_ties
 from shardloom.sources.columnar import ColumnarOptions, chunk_statistics, table_size, write_columnar
 from shardloom.sources.timeparts import partition_ranges
@@ -201,3 +202,25 @@ def test_similar_to(spark):
     hit = lambda p: [x.s for x in t.where(similar_to(F.col("s"), p)).collect()]
     assert hit("a_c") == ["abc", "a.c", "a%c"] and hit("a.c") == ["a.c"] and hit("%(b|%)c") == ["abc", "a.c", "xabc", "a%c"]
     assert hit("a\\%c") == ["a%c"] and hit("%") == ["abc", "a.c", "xabc", "a%c", ""]
+
+
+def test_numbers_are_consecutive_over_partitions(spark):
+    rows = [(i * 7919 % 1000, i) for i in range(1000)] + [(5, 5000)] * 700 + [(None, 1)]
+    t = spark.createDataFrame(rows, "k int, v int").repartition(7)
+    got = number_rows(t, ["k", "v"], start=0).collect()
+    assert sorted(r.id for r in got) == list(range(len(rows)))
+    ranked = [(r.k, r.v) for r in sorted(got, key=lambda r: r.id)]
+    assert ranked == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert number_rows(t.limit(0), ["k"]).count() == 0
+
+
+def test_overlap_join_gives_each_pair_once(spark):
+    rng = random.Random(4)
+    a, b = ([(i, x := rng.uniform(-50, 50), x + rng.uniform(-1, 30)) for i in range(60)] for _ in range(2))
+    none = (99, None, 3.0)
+    left = spark.createDataFrame([*a, none], "i int, p double, q double")
+    right = spark.createDataFrame([*b, none], "j int, r double, s double")
+    want = sorted((i, j) for i, p, q in a for j, r, s in b if p < q and r < s and p < s and r < q)
+    found = overlap_join(left, right, ("p", "q"), ("r", "s"), 4.0).select("i", "j")
+    assert values(found) == sorted(want, key=repr)
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().toString()) and "NestedLoop" not in plan
