@@ -4,8 +4,13 @@ A rollup is a folder of commits. A commit holds the signed change of each (sourc
 total and the new state of each (doc_id, tokenizer) that it touched. A batch of changes is turned
 into signed rows: what a document counted before with a minus, what it counts now with a plus. Totals
 are the sums of all commits' changes: no document is counted again. To learn what a batch's documents counted
-before, it reads the states of all commits (a few narrow columns, no text), leaves out by a semi join what
-it doesn't touch, and groups the rest.
+before, it reads the states between its smallest and largest doc_id (a few narrow columns, no text), leaves out by
+a semi join what it doesn't touch, and groups the rest. A batch's own counts are stored first, so that no text is counted twice.
+
+compact() folds all commits into a base: one total a group, one state a (doc_id, tokenizer), sorted by
+doc_id, so that files whose documents a batch doesn't touch are skipped by their statistics. From then on the base and later
+commits are read. Commits stay, as they tell which batches are there. A base names the commits it holds and is
+renamed to its place as a whole, so batches may be applied meanwhile; the largest base holds.
 
 A commit is written aside and renamed to its batch's name as the last step, so that it is there as a
 whole or not at all; a batch whose name is there already changes nothing, however often it is sent.
@@ -37,20 +42,54 @@ class TokenRollup:
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.root}/commits"))
+        for folder in ("commits", "bases"):
+            self._fs.mkdirs(self._path(f"{self.root}/{folder}"))
 
     def _path(self, where: str):
         return self._jvm.org.apache.hadoop.fs.Path(where)
 
     def commits(self) -> list[str]:
         """Names of the folders of all commits."""
-        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/commits")))
+        return self._names("commits")
+
+    def _names(self, folder: str) -> list[str]:
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/{folder}")))
+
+    def _base(self) -> tuple[list[str], set[str]]:
+        """The folder of the largest base, if there is one, and the commits it holds."""
+        found = self._names("bases")
+        if not found:
+            return [], set()
+        where = f"{self.root}/bases/{found[-1]}"
+        return [where], {r.name for r in self.spark.read.schema("name string").parquet(f"{where}/names").collect()}  # names, as listed for commits too
 
     def _read(self, what: str, schema: str) -> DataFrame:
-        names = self.commits()
-        if not names:
+        base, held = self._base()
+        return self._of([*base, *[f"{self.root}/commits/{n}" for n in self.commits() if n not in held]], what, schema)
+
+    def _of(self, folders: list[str], what: str, schema: str) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/commits/{n}/{what}" for n in names])
+        return self.spark.read.schema(schema).parquet(*[f"{f}/{what}" for f in folders])
+
+    def compact(self) -> bool:
+        """Fold all commits into a new base; False if the base holds them already or another one came first."""
+        base, held = self._base()
+        names = self.commits()
+        later = [n for n in names if n not in held]
+        if not later:
+            return False
+        folders = [*base, *[f"{self.root}/commits/{n}" for n in later]]
+        aside = f"{self.root}/aside-{uuid.uuid4().hex}"
+        sums = self._of(folders, "deltas", DELTAS).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums.write.parquet(f"{aside}/deltas")
+        last = self._of(folders, "state", STATE).groupBy(*KEY).agg(F.max_by(F.struct("source", "lang", "n_tokens", "alive"), "commit").alias("s"), F.max("commit").alias("commit"))
+        last.select(*KEY, "s.*", "commit").repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.parquet(f"{aside}/state")
+        self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.parquet(f"{aside}/names")
+        done = self._move(aside, f"{self.root}/bases/{len(names):010d}")
+        if not done:
+            self._fs.delete(self._path(aside), True)
+        return done
 
     def _move(self, where: str, to: str) -> bool:
         """Rename a folder to a name that isn't there; False if it is."""
@@ -69,7 +108,8 @@ class TokenRollup:
         """The last state of each (doc_id, tokenizer) that ever was: source, lang, n_tokens, alive; of touched ones only, if given."""
         rows = self._read("state", STATE)
         if touched is not None:
-            rows = rows.join(touched.select(*KEY), list(KEY), "left_semi")
+            ends = touched.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+            rows = rows.where(F.col("doc_id").between(ends.lo, ends.hi)).join(touched.select(*KEY), list(KEY), "left_semi")
         last = rows.groupBy(*KEY).agg(F.max_by(F.struct("source", "lang", "n_tokens", "alive"), "commit").alias("s"))
         return last.select(*KEY, "s.*")
 
@@ -99,13 +139,16 @@ class TokenRollup:
         known = F.col("action").isin("insert", "revise", "delete")
         checked = changes.where("doc_id is not null").withColumn("action", F.when(known, F.col("action")).otherwise(F.raise_error(F.concat(F.lit("unknown action "), F.coalesce("action", F.lit("null"))))))
         new = checked.groupBy(*KEY).agg(F.max(change).alias("c"))
+        aside = f"{self.root}/aside-{uuid.uuid4().hex}"
+        if number:
+            new.write.parquet(f"{aside}/new")
+            new = self.spark.read.schema(new.schema).parquet(f"{aside}/new")
         before = self.state(new)
         both = new.join(before.select(*KEY, F.struct("source", "lang", "n_tokens", "alive").alias("b")), list(KEY), "left") if number else new.withColumn("b", F.lit(None).cast("struct<source:string,lang:string,n_tokens:bigint,alive:boolean>"))
         was = F.coalesce(F.col("b.alive"), F.lit(False))
         now = (F.col("c.action") == "insert") | ((F.col("c.action") == "revise") & was)
         both = both.withColumn("was", was).withColumn("now", now).where("was or now")
 
-        aside = f"{self.root}/aside-{uuid.uuid4().hex}"
         rows = both.select(*KEY, F.col("c.source").alias("source"), F.col("c.lang").alias("lang"), F.col("c.n_tokens").alias("n_tokens"), F.col("now").alias("alive"), F.lit(number).alias("commit"), "b", "was")
         rows.write.parquet(f"{aside}/state")
         told = self.spark.read.parquet(f"{aside}/state")
@@ -115,6 +158,7 @@ class TokenRollup:
 
         moved = signed(-1, "was", "b.").unionAll(signed(1, "alive", ""))
         moved.groupBy(*GROUP).agg(F.sum("d").alias("n_docs"), F.sum("t").alias("n_tokens")).write.parquet(f"{aside}/deltas")
+        self._fs.delete(self._path(f"{aside}/new"), True)
         done = self._move(aside, f"{self.root}/commits/{name}")
         if not done:
             self._fs.delete(self._path(aside), True)
@@ -134,7 +178,7 @@ def versions(text: Column) -> dict[str, Column]:
 
 
 def query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All documents inserted; those labelled toxic deleted; those of low quality recounted without repeated lines; a batch sent twice."""
+    """All documents inserted; those labelled toxic deleted; those of low quality recounted without repeated lines; commits folded between; a batch sent twice."""
     rollup = TokenRollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
     rollup.apply("1-insert", changes(docs, "insert", versions(F.col("text"))))
     # Counts are taken before the join and an inner join stays above them, so no text is shuffled
@@ -142,6 +186,7 @@ def query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = lambda rows, which: rows.join(told.where(which), F.col("doc_id") == F.col("k"))
     toxic = labelled(changes(docs, "delete", {k: F.lit(0) for k in versions(F.lit(""))}), "toxic = 1")
     rollup.apply("2-takedown", toxic)
+    rollup.compact()
     once = F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")
     rollup.apply("3-recount", labelled(changes(docs, "revise", versions(once)), "quality = 0"))
     rollup.apply("2-takedown", toxic)

@@ -62,6 +62,36 @@ def test_rollup_is_signed_idempotent_and_additive(spark, tmp_path):
         again.apply("_x", second)
 
 
+def test_folded_commits_change_no_total(spark, tmp_path):
+    cols = "doc_id long, tokenizer string, action string, source string, lang string, n_tokens long, seq int"
+    rng = random.Random(8)
+    plain, folded = (tokencounts.TokenRollup(spark, f"file://{tmp_path}/{n}") for n in ("plain", "folded"))
+    assert not folded.compact()
+    told = lambda r: sorted(map(tuple, r.totals().collect()), key=repr)
+    states = lambda r: sorted(map(tuple, r.state().collect()), key=repr)
+    for k in range(6):
+        rows = [(rng.randrange(30), rng.choice("tu"), rng.choice(["insert", "revise", "delete"]), rng.choice(["a", None]), "en", rng.randrange(9), i) for i in range(20)]
+        batch = spark.createDataFrame(rows, cols)
+        assert plain.apply(f"{k}/x", batch) and folded.apply(f"{k}/x", batch)
+        if k in (1, 3, 4):
+            assert folded.compact() and not folded.compact()
+        assert not folded.apply(f"{k}/x", batch)
+        assert told(folded) == told(plain) and states(folded) == states(plain)
+    late = tokencounts.TokenRollup(spark, folded.root)
+    assert len(late.commits()) == 6 and len(late._base()[1]) == 5 and told(late) == told(plain)
+    # what is read: the base and the one commit after it
+    assert {f.split("/folded/")[1].split("/state/")[0] for f in late._read("state", tokencounts.STATE).inputFiles()} == {"bases/0000000005", "commits/5%252Fx"}
+
+
+def test_a_fold_beside_a_writer_loses_nothing(spark, tmp_path):
+    row = lambda i, n: spark.createDataFrame([(i, "t", "insert", "s", "l", n, 0)], "doc_id long, tokenizer string, action string, source string, lang string, n_tokens long, seq int")
+    r, other = (tokencounts.TokenRollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    assert r.apply("a", row(1, 5)) and r.apply("b", row(2, 7))
+    other.commits = lambda: ["a"]  # it looked before b was there
+    assert other.compact() and not other.compact()
+    assert r.apply("c", row(2, 1)) and [tuple(x) for x in r.totals().collect()] == [("s", "l", "t", 2, 6)]
+
+
 # --- language
 
 
