@@ -5,7 +5,8 @@ total and the new state of each (doc_id, tokenizer) that it touched. A batch of
 into signed rows: what a document counted before with a minus, what it counts now with a plus. Totals
 are the sums of all commits' changes: no document is counted again. To learn what a batch's documents counted
 before, it reads the states between its smallest and largest doc_id (a few narrow columns, no text), leaves out by
-a semi join what it doesn't touch, and groups the rest. A batch's own counts are stored first, so that no text is counted twice.
+a semi join what it doesn't touch, and groups the rest. Of a
+batch only the ids are read for that, so no text is counted twice.
 
 compact() folds all commits into a base: one total a group, one state a (doc_id, tokenizer), sorted by
 doc_id, so that files whose documents a batch doesn't touch are skipped by their statistics. From then on the base and later
@@ -139,16 +140,13 @@ class TokenRollup:
         known = F.col("action").isin("insert", "revise", "delete")
         checked = changes.where("doc_id is not null").withColumn("action", F.when(known, F.col("action")).otherwise(F.raise_error(F.concat(F.lit("unknown action "), F.coalesce("action", F.lit("null"))))))
         new = checked.groupBy(*KEY).agg(F.max(change).alias("c"))
-        aside = f"{self.root}/aside-{uuid.uuid4().hex}"
-        if number:
-            new.write.parquet(f"{aside}/new")
-            new = self.spark.read.schema(new.schema).parquet(f"{aside}/new")
-        before = self.state(new)
+        before = self.state(changes.where("doc_id is not null"))
         both = new.join(before.select(*KEY, F.struct("source", "lang", "n_tokens", "alive").alias("b")), list(KEY), "left") if number else new.withColumn("b", F.lit(None).cast("struct<source:string,lang:string,n_tokens:bigint,alive:boolean>"))
         was = F.coalesce(F.col("b.alive"), F.lit(False))
         now = (F.col("c.action") == "insert") | ((F.col("c.action") == "revise") & was)
         both = both.withColumn("was", was).withColumn("now", now).where("was or now")
 
+        aside = f"{self.root}/aside-{uuid.uuid4().hex}"
         rows = both.select(*KEY, F.col("c.source").alias("source"), F.col("c.lang").alias("lang"), F.col("c.n_tokens").alias("n_tokens"), F.col("now").alias("alive"), F.lit(number).alias("commit"), "b", "was")
         rows.write.parquet(f"{aside}/state")
         told = self.spark.read.parquet(f"{aside}/state")
@@ -158,7 +156,6 @@ class TokenRollup:
 
         moved = signed(-1, "was", "b.").unionAll(signed(1, "alive", ""))
         moved.groupBy(*GROUP).agg(F.sum("d").alias("n_docs"), F.sum("t").alias("n_tokens")).write.parquet(f"{aside}/deltas")
-        self._fs.delete(self._path(f"{aside}/new"), True)
         done = self._move(aside, f"{self.root}/commits/{name}")
         if not done:
             self._fs.delete(self._path(aside), True)
