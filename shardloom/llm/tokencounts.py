@@ -28,7 +28,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import n_words, need, shared_folder
+from shardloom.llm.common import fresh, n_words, need, shared_folder
 
 KEY = ("doc_id", "tokenizer")
 GROUP = ("source", "lang", "tokenizer")
@@ -163,10 +163,17 @@ class TokenRollup:
 
 
 def changes(docs: DataFrame, action: str, counts: dict[str, Column], seq: int = 0) -> DataFrame:
-    """Changes of documents (doc_id, source, lang): one for each tokenizer version and its count."""
+    """Changes of documents (doc_id, source, lang): one for each tokenizer version and its count.
+
+    Versions are listed first and counted by a CASE after that, so whoever needs the ids alone reads no text.
+    """
     need(docs, "doc_id", "source", "lang")
-    each = F.array(*[F.struct(F.lit(k).alias("tokenizer"), v.cast("long").alias("n_tokens")) for k, v in counts.items()])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.explode(each).alias("e")).select("doc_id", "e.tokenizer", F.lit(action).alias("action"), "source", "lang", "e.n_tokens", F.lit(seq).alias("seq"))
+    version = fresh(docs, "tokenizer")[0]
+    count = F.lit(None).cast("long")
+    for k, v in counts.items():
+        count = F.when(F.col(version) == k, v.cast("long")).otherwise(count)
+    each = docs.withColumn(version, F.explode(F.array(*map(F.lit, counts))))
+    return each.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(version).alias("tokenizer"), F.lit(action).alias("action"), "source", "lang", count.alias("n_tokens"), F.lit(seq).alias("seq"))
 
 
 def versions(text: Column) -> dict[str, Column]:

@@ -83,6 +83,14 @@ def test_folded_commits_change_no_total(spark, tmp_path):
     assert {f.split("/folded/")[1].split("/state/")[0] for f in late._read("state", tokencounts.STATE).inputFiles()} == {"bases/0000000005", "commits/5%252Fx"}
 
 
+def test_ids_of_changes_are_read_without_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("tokenizer", F.lit("own"))
+    found = tokencounts.changes(docs, "insert", tokencounts.versions(F.col("text")))
+    assert found.groupBy("tokenizer").count().count() == 2 and found.where("n_tokens is null").isEmpty()
+    plan = found.select(*tokencounts.KEY)._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan and "doc_id" in plan
+
+
 def test_a_fold_beside_a_writer_loses_nothing(spark, tmp_path):
     row = lambda i, n: spark.createDataFrame([(i, "t", "insert", "s", "l", n, 0)], "doc_id long, tokenizer string, action string, source string, lang string, n_tokens long, seq int")
     r, other = (tokencounts.TokenRollup(spark, f"file://{tmp_path}/r") for _ in range(2))
