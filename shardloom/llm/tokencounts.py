@@ -62,7 +62,7 @@ class TokenRollup:
         if not found:
             return [], set()
         where = f"{self.root}/bases/{found[-1]}"
-        return [where], {r.name for r in self.spark.read.schema("name string").parquet(f"{where}/names").collect()}  # names, as listed for commits too
+        return [where], {r.value for r in self.spark.read.text(f"{where}/names").collect()}  # as many as the list of commits has
 
     def _read(self, what: str, schema: str) -> DataFrame:
         base, held = self._base()
@@ -86,7 +86,9 @@ class TokenRollup:
         sums.write.parquet(f"{aside}/deltas")
         last = self._of(folders, "state", STATE).groupBy(*KEY).agg(F.max_by(F.struct("source", "lang", "n_tokens", "alive"), "commit").alias("s"), F.max("commit").alias("commit"))
         last.select(*KEY, "s.*", "commit").repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.parquet(f"{aside}/state")
-        self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.parquet(f"{aside}/names")
+        out = self._fs.create(self._path(f"{aside}/names"))
+        out.write(bytearray("\n".join(names), "utf-8"))
+        out.close()
         done = self._move(aside, f"{self.root}/bases/{len(names):010d}")
         if not done:
             self._fs.delete(self._path(aside), True)
