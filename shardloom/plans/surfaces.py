@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from datetime import timedelta
 
 from pyspark.sql import Window
@@ -60,10 +59,8 @@ def register(r) -> None:
 
     @r.pair("foreign_scan", "SELECT n_regionkey, count(*) AS n, max(n_name) AS last FROM nation WHERE n_regionkey > 1 GROUP BY n_regionkey")
     def _foreign(spark, sf):
-        """A table of another database (one in memory, so on one machine), read in three tasks; the filter is sent there."""
-        spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", tempfile.mkstemp(prefix="derby-")[1])
-        url = "jdbc:derby:memory:shardloom;create=true"
-        X.write_foreign(table(spark, sf, "nation").select("n_nationkey", "n_regionkey", "n_name"), url, "foreign_nation", "overwrite", createTableColumnTypes="n_name VARCHAR(100)")
+        """A table of another database, read in three tasks; the filter is sent there."""
+        url = X.packed_database(table(spark, sf, "nation").select("n_nationkey", "n_regionkey", "n_name"), "foreign_nation")
         far = X.foreign_table(spark, url, "foreign_nation", ("n_nationkey", 0, 25, 3)).where("n_regionkey > 1")
         if "n_regionkey" not in O.explain(far).partition("PushedFilters")[2]:
             raise RuntimeError("the filter wasn't sent")

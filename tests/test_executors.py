@@ -14,7 +14,7 @@ from shardloom.plans import registry
 from tests.compare import SF, duck, rows
 
 REPO = Path(__file__).resolve().parents[1]
-NAMES = ["lateral_topn"]
+NAMES = ["lateral_topn", "foreign_scan"]
 #: Prints one JSON line for each query: its name, and columns and rows or the error.
 SCRIPT = """
 import json, sys
