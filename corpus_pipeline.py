@@ -9,34 +9,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shardloom.llm import jaccard, langid, mixing, queries, secrets
-from shardloom.llm.common import arrow_limits, shared_table
+from shardloom.llm.common import arrow_limits, plain_reads, shared_table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which the mixture inference finds a language."""
     arrow_limits(spark)
+    plain_reads(spark)
     return langid.keep_identified(spark, docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each group of near duplicates (five words, 80 %)."""
     arrow_limits(spark)
+    plain_reads(spark)
     return jaccard.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark."""
+    plain_reads(spark)
     return secrets.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    plain_reads(spark)
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded text of each document of the mix."""
-    return queries.bpe_digest(spark, docs)
+    plain_reads(spark)
+    return queries.bpe_digest(spark, docs, mb=1)
 
 
 STAGES = [

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,11 +94,20 @@ def cut(text: Column, spans: Column) -> Column:
 _slot: dict = {}
 
 
+def give_back() -> None:
+    """Return free memory to the system; the allocators of C and Arrow would keep it for this process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def only(key, make):
     """What make() gives, kept in a Python worker until another key is asked for: reused workers go from operator to operator."""
     if key not in _slot:
         _slot.clear()
         _slot[key] = make()
+        give_back()
     return _slot[key]
 
 
@@ -107,6 +118,11 @@ def arrow_limits(spark: SparkSession, rows: int = 1000, mb: int = 4) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def plain_reads(spark: SparkSession) -> None:
+    """Read Parquet in steps: a vectored read of a long text column leaves direct buffers of its size with the threads that made it."""
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all runs on one machine (tests)."""
     sc = spark.sparkContext

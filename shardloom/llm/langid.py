@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import fresh
+from shardloom.llm.common import fresh, only
 from shardloom.session import ship
 
 BUCKETS = 1 << 14
@@ -106,6 +106,7 @@ def fit(spark: SparkSession, docs: DataFrame, text: str = "text", lang: str = "l
     """Learn from all rows with text and language. Each partition sends its summed counts of a class and language once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("langid", dict)  # what an earlier operator kept in this worker goes
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -139,6 +140,7 @@ def identify(spark: SparkSession, model: MixtureModel, text: Column) -> Column:
 
     @F.pandas_udf(RESULT)
     def infer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        only("langid", dict)
         m = sent.value
         for texts in batches:
             yield pd.DataFrame([m.infer(t) for t in texts], columns=["lang_pred", "score", "languages", "proportions"])

@@ -27,9 +27,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(spark, _table(spark, sf_dir, "documents"))
 
 
-def bpe_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents."""
-    arrow_limits(spark)
+def bpe_digest(spark: SparkSession, docs: DataFrame, mb: int = 4) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents; a worker gets about mb of text at a time."""
+    arrow_limits(spark, mb=mb)
     coded = bpe.round_trip(spark, docs, tokenizer_path())
     return coded.select(
         "doc_id",
